@@ -1,11 +1,14 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from strikeline.llm import decontaminate
+from strikeline.llm import decontaminate, exact_dedup, packing
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op4_pack": packing.query,
+    "op9_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op9_exact_dedup": exact_dedup.ORACLE,
 }
