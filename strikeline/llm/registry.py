@@ -1,14 +1,17 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from strikeline.llm import decontaminate, exact_dedup, packing
+from strikeline.llm import decontaminate, exact_dedup, packing, secrets, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_warc": warc.query,
     "op4_pack": packing.query,
+    "op8_secrets": secrets.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_warc": warc.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
