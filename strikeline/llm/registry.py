@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from strikeline.llm import decontaminate, exact_dedup, packing, secrets, warc
+from strikeline.llm import decontaminate, exact_dedup, near_dedup, packing, secrets, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_warc": warc.query,
     "op4_pack": packing.query,
+    "op6_near_dedup": near_dedup.query,
     "op8_secrets": secrets.query,
     "op9_exact_dedup": exact_dedup.query,
 }
@@ -13,5 +14,6 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_warc": warc.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
