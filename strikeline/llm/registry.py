@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from strikeline.llm import decontaminate, exact_dedup, lm, near_dedup, packing, secrets, warc
+from strikeline.llm import decontaminate, exact_dedup, lm, near_dedup, packing, quality, secrets, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_warc": warc.query,
+    "op3_quality": quality.query,
     "op4_pack": packing.query,
     "op6_near_dedup": near_dedup.query,
     "op7_lm_score": lm.query,
