@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
+_KEPT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or current.get()).rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one intermediate table."""
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A fresh folder for one intermediate table; with ``keep`` it stays until the program ends."""
     path = f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
+    (_KEPT if keep else _SCRATCH).append((spark, path))
     return path
 
 
@@ -52,20 +53,21 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def clear_scratch() -> None:
-    """Delete every intermediate table written so far.
+def clear_scratch(kept: bool = False) -> None:
+    """Delete the intermediate tables written so far.
 
     Call it only when all results that depend on them have been written.
     """
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
-        try:
-            delete(spark, path)
-        except Exception:  # the session may be gone already
-            continue
+    for paths in (_SCRATCH, _KEPT)[: 1 + kept]:
+        while paths:
+            spark, path = paths.pop()
+            try:
+                delete(spark, path)
+            except Exception:  # the session may be gone already
+                continue
 
 
-atexit.register(clear_scratch)
+atexit.register(clear_scratch, True)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
