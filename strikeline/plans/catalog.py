@@ -402,7 +402,6 @@ def correlation_pairs(spark, sf):
 
 # --- point in time ----------------------------------------------------------
 
-_DECISION = F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
 _MATCHED = f"""WITH {V.MASTER}, {V.OBSERVATIONS}, counted AS (
   SELECT o.record_index, o.contract_id, o.ts, count(m.contract_id) AS matches, any_value(m.effective_from) AS effective_from, any_value(m.effective_to) AS effective_to, any_value(m.lot_size) AS lot_size
   FROM observations o LEFT JOIN master m ON o.contract_id = m.contract_id AND m.effective_from <= o.ts AND (m.effective_to IS NULL OR o.ts <= m.effective_to) AND m.available_at <= TIMESTAMP '1998-06-01'
@@ -411,7 +410,7 @@ _MATCHED = f"""WITH {V.MASTER}, {V.OBSERVATIONS}, counted AS (
 
 
 def _matched(spark, sf):
-    return pit.match_master(V.observations(spark, sf), V.contract_master(spark, sf), _DECISION)
+    return pit.match_master(V.observations(spark, sf), V.contract_master(spark, sf), F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"))
 
 
 @register(f"{_MATCHED} SELECT record_index, contract_id, ts, effective_from, effective_to, lot_size FROM counted WHERE matches = 1")
