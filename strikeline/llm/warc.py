@@ -97,7 +97,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
         size = n = 0
         with fs.open_output_stream(path, compression=None, buffer_size=READ_BYTES) as out:
             info = member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
-            size += out.write(info) or len(info)
+            out.write(info)
+            size += len(info)
             for batch in pieces(batches, "payload", BATCH_BYTES):
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     data = page_record(*row)
