@@ -21,8 +21,10 @@ on their own; an empty table packs to no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from collections.abc import Iterable
 from itertools import accumulate
 
 import numpy as np
@@ -37,32 +39,105 @@ WINDOW = 2048
 UNIT = 8
 DEPTH = 3
 END_ID = 1
-CACHED_CHUNKS = 300_000
-PIECE_BYTES = 8 << 20
+CACHED_CHUNKS = 400_000
+PIECE_BYTES = 2 << 20
 
 
-class Chunks(dict):
+#: Letters, then punctuation that the tokenizer splits off (an apostrophe may belong to the letters after it).
+WORD = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class Chunks:
     """White-space chunks and their ids as little-endian unsigned 32-bit integers.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its chunks, one after the other.
+    are those of its chunks, one after the other; likewise a chunk of letters and
+    punctuation is the two, one after the other.  Case is folded first, except in
+    texts that may hold a special token.  Chunks are remembered in two
+    generations: when the young one is full it becomes the old one, and what is
+    met again comes back from there; so frequent chunks stay, rare ones go.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        if len(self) >= CACHED_CHUNKS:
-            self.clear()
-        self[chunk] = found = np.array(ids, "<u4").tobytes()
-        return found
-
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _recall(self, chunks: Iterable[bytes]) -> list[bytes]:
+        """Bring chunks back into the young generation; return the unknown ones."""
+        young, old, unknown = self.young, self.old, []
+        for c in chunks:
+            if c not in young:
+                if (ids := old.get(c)) is None:
+                    unknown.append(c)
+                else:
+                    young[c] = ids
+        return unknown
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Plain words: each ends with its only token that ends a word."""
+        found = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[found]) + 1
+        if len(ends) != len(words):
+            self._encode_any(words)
+            return
+        data, at = found.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.young[w] = data[at:end]
+            at = end
+
+    def _encode_any(self, chunks: list[bytes]) -> None:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        data = np.array(found.ids, "<u4").tobytes()
+        at = 4 * np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts)
+        for c, i, j in zip(chunks, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            self.young[c] = data[i:j]
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Make sure that ``chunks`` are in the young generation."""
+        unknown = self._recall(chunks)
+        if len(self.young) + len(unknown) > CACHED_CHUNKS:
+            self.old, self.young = self.young, {}
+            unknown = self._recall(chunks)
+        split, words, other = [], set(), set()
+        for c in unknown:
+            m = WORD.fullmatch(c)
+            word, tail = m.groups() if m else (b"", b"")
+            if word and plain(word):
+                words.add(word)
+                if tail:
+                    other.add(tail)
+                    split.append((c, word, tail))
+            else:
+                other.add(c)
+        if words := self._recall(words):
+            self._encode_words(words)
+        if other := self._recall(other):
+            self._encode_any(other)
+        for c, word, tail in split:
+            self.young[c] = self.young[word] + self.young[tail]
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text."""
+        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
+        self.learn(set().union(*split))
+        get = self.young.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in split]
+
+
+def plain(word: bytes) -> bool:
+    """Letters of the Latin blocks, which case folding and composition leave letters."""
+    if word.isascii():
+        return True
+    text = word.decode("utf-8", "replace")
+    return max(text) < "\u0250" and text.isalpha() and "\u0130" not in text
 
 
 _CACHE: dict[str, Chunks] = {}
@@ -87,8 +162,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         chunks, seen, part = _CACHE[key], np.zeros(window // unit + 2, np.int64).tolist(), TaskContext.get().partitionId()
         for batch in pieces(batches, "text", PIECE_BYTES):
             rows, columns = [], [[] for _ in fields]
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = (chunks.encode(text) if text else b"") + end
+            for i, ids in enumerate(chunks.encode(batch.column(1).to_pylist())):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     own = ids[4 * start : 4 * (start + window)]
