@@ -12,6 +12,9 @@ Two lossless screens come first.  More than a quarter of every template's
 shingles hold one of its anchor words, so a matching passage holds an anchor:
 texts without any anchor word, and windows without one, cannot match.
 
+A notice of fewer words than a shingle (``SHORT``) is one sequence: it matches
+where all its words follow each other, with share 1, in texts of any length.
+
 Everything is a projection of one row: no shuffle, nothing collected, and a row's
 memory is bounded by its own text.  Defined results: null and empty texts match
 nothing; repeated rows are scanned each; a text shorter than a template has one
@@ -44,6 +47,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Proprietary": "This document is proprietary and confidential. All rights reserved",
 }
+# Notices of fewer than SHINGLE words.
+SHORT = {"All-rights-reserved": "All rights reserved"}
 # Words by which a matching passage is found at all.
 ANCHORS = ("licensed", "license", "copy", "forms", "modification", "permitted", "permission", "granted", "copies", "software", "published", "confidential", "obtaining", "compliance")
 
@@ -97,6 +102,13 @@ def _match(name: str, own: list[int], least: list[int]) -> Column:
     return F.when(best.isNotNull(), F.struct(F.lit(name).alias("template"), (-best["at"]).alias("start"), best["share"].alias("share")))
 
 
+def _whole(name: str, own: list[str]) -> Column:
+    """The first place of a short notice among the words ``__w``: struct(template, start, share), or null."""
+    ends = F.filter(F.transform("__w", lambda w, i: F.when(w == own[-1], i - (len(own) - 1)).otherwise(-1)), lambda i: i >= 0)
+    first = F.array_min(F.filter(ends, lambda i: F.slice("__w", i + 1, len(own)) == F.array(*map(F.lit, own))))
+    return F.when(first.isNotNull(), F.struct(F.lit(name).alias("template"), first.alias("start"), F.lit(1.0).alias("share")))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id and ``matches``, an array of (template, start, share) by template.
 
@@ -104,15 +116,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     stems = sorted({a for a in ANCHORS if not any(b != a and b in a for b in ANCHORS)})
+    short = {name: notice.lower().split() for name, notice in SHORT.items()}
+    stems += [max(own, key=len) for own in short.values()]
     screen = reduce(lambda x, y: x | y, (F.contains(text, F.lit(a)) for a in stems))
     rows = docs.select(F.col(id_col).alias("id"), F.when(screen, words(F.col(text_col))).alias("__w"))
     anchors = F.array(*map(F.lit, ANCHORS))
     places = F.filter(F.transform("__w", lambda w, i: F.when(F.array_contains(anchors, w), i).otherwise(-1)), lambda i: i >= 0)
-    rows = rows.select("id", F.when(F.col("__w").isNotNull(), shingle_hashes(F.col("__w"))).alias("__h"), places.alias("__a"))
+    whole = F.array_compact(F.array(*(_whole(*t) for t in short.items())))
+    rows = rows.select("id", whole.alias("__s"), F.when(F.col("__w").isNotNull(), shingle_hashes(F.col("__w"))).alias("__h"), places.alias("__a"))
     found = F.array_compact(F.array(*(_match(*t) for t in _templates(docs.sparkSession))))
     kind = "array<struct<template: string, start: int, share: double>>"
     may = F.col("__h").isNotNull() & (F.size("__h") > 0) & (F.size("__a") > 0)
-    return rows.select(F.col("id").alias(id_col), F.when(may, found).otherwise(F.array().cast(kind)).alias("matches"))
+    both = F.array_sort(F.concat("__s", F.when(may, found).otherwise(F.array().cast(kind))))
+    return rows.select(F.col("id").alias(id_col), both.alias("matches"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
