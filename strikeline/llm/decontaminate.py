@@ -13,7 +13,8 @@ benchmark larger than a chunk is applied chunk after chunk, each broadcast on
 its own (``CHUNK_WORDS`` bounds it), with a checkpoint between two chunks.
 
 Defined results: null or empty text has no words and no hits; items without
-words match nothing; repeated items and repeated rows each keep their own id or
+words match nothing; an item without an id is searched like any other and found
+as one null, the last of the ids; repeated items and repeated rows each keep their own id or
 row; extra columns are carried through by :func:`remove` and ignored by
 :func:`annotate`; an empty benchmark leaves every document clean.
 """
@@ -49,16 +50,21 @@ def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
 
 
+def in_order(ids: list[str | None]) -> list[str | None]:
+    """Every id once, a null last."""
+    return sorted(set(ids), key=lambda i: (i is None, i or ""))
+
+
 class Suffixes:
     """The benchmark side: distinct word sequences, their windows and search keys."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.vocab: dict[bytes, int] = {}
-        by_words: dict[tuple[bytes, ...], list[str]] = {}
+        by_words: dict[tuple[bytes, ...], list[str | None]] = {}
         for item, words in items:
             by_words.setdefault(tuple(words), []).append(item)
-        self.names = [sorted(set(ids)) for ids in by_words.values()]
+        self.names = [in_order(ids) for ids in by_words.values()]
         keys: dict[bytes, int] = {}
         lengths, of_window, of_item, offsets = [], [], [], []
         for i, words in enumerate(by_words):
@@ -90,14 +96,14 @@ class Suffixes:
             total = total * (len(self.vocab) + 1) + c
         return total
 
-    def scan(self, texts: list[bytes | None]) -> list[tuple[int, int, list[str], int, int]]:
+    def scan(self, texts: list[bytes | None]) -> list[tuple[int, int, list[str | None], int, int]]:
         """For each text: words, hit words, ids of items found, longest match and its first word (-1: none)."""
         get, counts, arrays, zero = self.vocab.get, [], [], np.zeros(1, np.int32)
         for t in texts:
             words = words_of(t)
             counts.append(len(words))
             arrays += [np.fromiter(map(get, words, repeat(0)), np.int32, len(words)), zero]
-        out: list[tuple[int, int, list[str], int, int]] = [(n, 0, [], 0, -1) for n in counts]
+        out: list[tuple[int, int, list[str | None], int, int]] = [(n, 0, [], 0, -1) for n in counts]
         if not self.gram or not texts:
             return out
         ids = np.concatenate([*arrays, np.zeros(self.window, np.int32)])
@@ -139,11 +145,11 @@ class Suffixes:
         for d, m, p in zip(doc.tolist(), length.tolist(), (-place[run]).tolist(), strict=True):
             best[d] = max(best.get(d, (0, 0)), (m, p))
         seen = np.unique(doc * len(self.names) + item[run])
-        items: dict[int, list[str]] = {}
+        items: dict[int, list[str | None]] = {}
         for d, i in zip((seen // len(self.names)).tolist(), (seen % len(self.names)).tolist(), strict=True):
             items.setdefault(d, []).extend(self.names[i])
         for d, (m, p) in best.items():
-            out[d] = (counts[d], int(hits[d]), sorted(set(items[d])), m, -p - int(begins[d]))
+            out[d] = (counts[d], int(hits[d]), in_order(items[d]), m, -p - int(begins[d]))
         return out
 
     def covered(self, text: bytes | None) -> list[int]:
@@ -159,14 +165,14 @@ class Suffixes:
         return np.flatnonzero(np.cumsum(mask) > 0).tolist()
 
 
-def _chunks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _chunks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The benchmark in chunks of at most CHUNK_WORDS words (or one item); one empty chunk if there are none."""
-    chunk: list[tuple[str, list[bytes]]] = []
+    chunk: list[tuple[str | None, list[bytes]]] = []
     size = 0
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("binary"))
     for item, text in rows.toLocalIterator():
         words = words_of(bytes(text)) if text else []
-        if item is None or not words:
+        if not words:
             continue
         if size and size + len(words) > CHUNK_WORDS:
             yield chunk
@@ -216,7 +222,7 @@ def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window
                     for i, o in enumerate(column("__found").to_pylist()):
                         n, _, items, m, p = found[i]
                         m, p = max((o["longest_match"], -o["longest_start"]), (m, -p))
-                        found[i] = (n, len(at[i]), sorted({*o["item_ids"], *items}), m, -p)
+                        found[i] = (n, len(at[i]), in_order([*o["item_ids"], *items]), m, -p)
                 fields = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 5, _ARROW, strict=True)]
                 yield pa.RecordBatch.from_arrays([*map(column, names), pa.StructArray.from_arrays(fields, FOUND.names), pa.array(at, pa.list_(pa.int64()))], [*names, "__found", "__at"])
 

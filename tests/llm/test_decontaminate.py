@@ -46,6 +46,30 @@ def test_every_window(spark, monkeypatch, chunk):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _, hit, _ in brute() if not hit)
 
 
+@pytest.mark.parametrize("chunk", [d.CHUNK_WORDS, 1])
+def test_items_without_an_id(spark, monkeypatch, chunk):
+    monkeypatch.setattr(d, "CHUNK_WORDS", chunk)
+    rows = [(1, "so one two three here"), (2, "four five"), (3, "x y one two three"), (4, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (None, "four five"), (7, "x y"), (8, "one two three")], "item_id long, text string")
+    found = {r.doc_id: (r.n_hit, r.item_ids) for r in d.annotate(docs, bench).collect()}
+    assert found == {1: (3, ["8", None]), 2: (2, [None]), 3: (5, ["7", "8", None]), 4: (0, [])}
+    assert [r.doc_id for r in d.remove(docs, bench).collect()] == [4]
+
+
+def test_query_agrees_with_its_sql_without_ids(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(1, "so one two three here"), (2, "four five"), (3, "x y one two three"), (4, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "one two three"), (None, "four five"), (7, "x y"), (8, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    found = d.query(spark, str(tmp_path))
+    names = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
+    assert sorted(map(tuple, found.selectExpr(*names.split(", ")).collect())) == sorted(con.execute(f"SELECT {names} FROM ({d.ORACLE})").fetchall())
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
