@@ -12,6 +12,10 @@ header, and owns the records that start inside its range (it reads the last one
 past the range's end).  After a record the next one is expected right behind it;
 after damaged bytes the search for magic goes on.
 
+A header may have any length.  Damage is passed over, so a reader that must have
+every record asks for ``complete``: then the records read are written and counted
+against the manifest.
+
 Payloads are UTF-8 text here, in which the magic (1F 8B) cannot occur, so a
 member stored uncompressed shows no false start.  Memory per task: one range
 buffer and one record.
@@ -140,7 +144,7 @@ class Source:
         inflate, data, pos, fields, begin = zlib.decompressobj(31), [], at, None, 0
         try:
             while not inflate.eof:
-                if not (more := self.read(pos, HEADER_BYTES if fields is None else READ_BYTES)):
+                if not (more := self.read(pos, HEADER_BYTES if pos == at else READ_BYTES)):
                     return None
                 pos += len(more)
                 data.append(inflate.decompress(more))
@@ -149,7 +153,7 @@ class Source:
                     data = [head]
                     if (found := header_of(head)) is not None:
                         fields, begin = found
-                    elif not b"WARC/".startswith(head[:5]) and not head.startswith(b"WARC/") or len(head) > HEADER_BYTES or inflate.eof:
+                    elif not b"WARC/".startswith(head[:5]) and not head.startswith(b"WARC/") or b"\r\n\r\n" in head or inflate.eof:
                         return None
         except zlib.error:
             return None
@@ -179,8 +183,11 @@ class Source:
 OUT = "path string, offset long, record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string"
 
 
-def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = False) -> DataFrame:
-    """The page records of the archives in a manifest, each read by the task whose byte range it starts in."""
+def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = False, complete: bool = False) -> DataFrame:
+    """The page records of the archives in a manifest, each read by the task whose byte range it starts in.
+
+    With ``complete``, fail unless every archive gave as many records as its manifest says.
+    """
     total = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
     splits = manifest.select("root", "path", starts.alias("start")).repartition(max(1, min(int(total), 4096)))
@@ -208,7 +215,15 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
                 if rows:
                     yield _batch(rows, with_payload)
 
-    return splits.mapInArrow(run, OUT + ", payload binary" * with_payload)
+    found = splits.mapInArrow(run, OUT + ", payload binary" * with_payload)
+    if not complete:
+        return found
+    found = materialise(found, "warc-records")
+    read = found.groupBy("path").agg(F.count("*").alias("read"))
+    short = manifest.join(read, "path", "left").where(F.col("records") != F.coalesce("read", F.lit(0))).select("path", "records", F.coalesce("read", F.lit(0)).alias("read")).first()
+    if short:
+        raise ValueError(f"{short.path} holds {short.records} records and {short.read} were read")
+    return found
 
 
 def _batch(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:
@@ -220,7 +235,7 @@ def _batch(rows: list[tuple], with_payload: bool) -> pa.RecordBatch:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    found = read_archives(spark, manifest)
+    found = read_archives(spark, manifest, complete=True)
     return found.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 

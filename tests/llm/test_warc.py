@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,28 @@ def test_missing_ids_repeated_rows_and_small_payloads(spark):
     assert all(r.record_type == "response" for r in found)
 
 
+def test_long_headers(spark):
+    rng = random.Random(0)
+    urls = {i: "http://h/" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)) for i, n in enumerate((10, 70_000, 200_000, 3_000_000, 10))}
+    table = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in urls.items()], "page_id long, url string, html string")
+    manifest = warc.write_archives(table.coalesce(1))
+    for split in (5000, 1 << 22):
+        found = warc.read_archives(spark, manifest, split_bytes=split, with_payload=True, complete=True).collect()
+        assert {int(r.record_id): r.url for r in found} == urls and len(found) == len(urls)
+        assert all(r.payload.decode() == f"<p>{r.record_id}</p>" for r in found)
+
+
+def test_complete_or_nothing(spark, tmp_path):
+    found = warc.write_archives(pages(spark).coalesce(1))
+    data = open(found.first().path, "rb").read()
+    at = warc.read_archives(spark, found).where("record_id = '5'").first().offset
+    (tmp_path / "a.warc.gz").write_bytes(data[: at + 12] + b"\0\xff\x17" + data[at + 15 :])
+    manifest = found.withColumn("path", F.lit(f"{tmp_path}/a.warc.gz"))
+    assert warc.read_archives(spark, found, complete=True).count() == len(HTML)
+    with pytest.raises(ValueError, match="holds 7 records and 6 were read"):
+        warc.read_archives(spark, manifest, complete=True)
+
+
 def test_empty_table(spark):
     table = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(spark, warc.write_archives(table)).collect() == []
