@@ -70,6 +70,19 @@ def clear_scratch(kept: bool = False) -> None:
 atexit.register(clear_scratch, True)
 
 
+def free_names(taken: Iterable[str], *stems: str) -> list[str]:
+    """Column names that no column of ``taken`` has, whatever the case of its letters."""
+    held = {t.lower() for t in taken}
+    found = []
+    for stem in stems:
+        name = f"own_{stem}"
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        found.append(name)
+    return found
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Split record batches so that ``column`` holds at most ``max_bytes`` in each (or one row)."""
     for batch in batches:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from strikeline.llm import graph, near_dedup
@@ -73,28 +74,61 @@ def test_all_pairs(spark, monkeypatch, seed, block, group):
     assert all((r.doc_id == r.component_id) == r.kept for r in found if r.doc_id is not None)
 
 
-def test_rounds_after_the_first(spark, monkeypatch):
-    """Without any first-round link, the later rounds find all of them."""
+@pytest.mark.parametrize(("block", "shingles"), [(near_dedup.BLOCK, near_dedup.BLOCK_SHINGLES), (4, 900)])
+def test_rounds_after_the_first(spark, monkeypatch, block, shingles):
+    """Without any first-round link, the second round finds all of them, in whole keys and in tiny blocks."""
     first = near_dedup.confirm
-    calls = []
-
-    def none_at_first(pairs, *a):
-        calls.append(1)
-        return first(pairs.limit(0) if len(calls) == 1 else pairs, *a)
-
-    monkeypatch.setattr(near_dedup, "confirm", none_at_first)
+    monkeypatch.setattr(near_dedup, "confirm", lambda pairs, *a: first(pairs.limit(0), *a))
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
     rows = corpus(2)
     found = near_dedup.annotate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found) == brute(rows)[0]
-    assert len(calls) > 1
+
+
+def test_second_round_emits_no_pairs(spark, monkeypatch):
+    """Of many pairs that sketches admit and sets refute, members go on but no pair does."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(100)]
+    rows = [(i, " ".join(shared + [word() for _ in range(20)])) for i in range(80)]  # a similarity of about 0.69 each
+    written = {}
+    kept = near_dedup.materialise
+
+    def noted(df, name, *a):
+        written[name] = kept(df, name, *a)
+        return written[name]
+
+    monkeypatch.setattr(near_dedup, "materialise", noted)
+    found = near_dedup.annotate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.component_id for r in found}) == 80 == brute(rows)[1]
+    assert written["near-joins"].count() == 0
+    assert 80 <= written["near-touched"].count() <= 80 * near_dedup.BANDS
+
+
+def test_sketches_tell_similarities():
+    """The cuts admit every pair at 0.75 and few at 0.55."""
+    rng = np.random.default_rng(1)
+    for n, share, least, most in ((40, 0.75, 1.0, 1.0), (400, 0.75, 1.0, 1.0), (400, 0.55, 0.0, 0.05)):
+        common = round(2 * n * share / (1 + share))
+        admitted = 0
+        for _ in range(150):
+            hashes = rng.integers(0, 2**64, 2 * n - common, dtype=np.uint64)
+            a, b = np.sort(hashes[:n]), np.sort(hashes[n - common :])
+            x, y = (near_dedup.signature(s)[1].view(np.uint64) for s in (a, b))
+            bits = np.bitwise_count(x ^ y)
+            admitted += bits.sum() <= near_dedup.MOST_BITS and bits[:8].sum() <= near_dedup.MOST_FIRST
+        assert least <= admitted / 150 <= most
 
 
 def test_filter(spark):
     rows = corpus(3)
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __x string")
+    docs = spark.createDataFrame([(i, t, "x", i, t) for i, t in rows], "doc_id long, text string, __id string, own_id long, OWN_H string")
     kept = near_dedup.drop_near_repeats(docs)
     assert kept.schema == docs.schema
-    assert kept.count() == brute(rows)[1]
+    found = kept.collect()
+    assert len(found) == brute(rows)[1]
+    assert all(r.doc_id == r.own_id and r.text == r.OWN_H for r in found)
 
 
 def test_empty_table(spark):
