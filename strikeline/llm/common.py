@@ -12,12 +12,14 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
-_KEPT: list[tuple[SparkSession, str]] = []
+#: Intermediate tables by the owner that may delete them; no owner: they stay until the program ends.
+_SCRATCH: dict[str | None, list[tuple[SparkSession, str]]] = {}
+_OWNER: list[str | None] = [None]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,13 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or current.get()).rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A fresh folder for one intermediate table; with ``keep`` it stays until the program ends."""
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one intermediate table."""
     path = f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    (_KEPT if keep else _SCRATCH).append((spark, path))
+    _SCRATCH.setdefault(_OWNER[-1], []).append((spark, path))
     return path
 
 
+@contextmanager
+def owned_by(owner: str) -> Iterator[None]:
+    """Tables written meanwhile belong to ``owner``, which may delete them by :func:`clear_scratch`."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
 def materialise(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut there."""
     spark = df.sparkSession
@@ -53,21 +65,19 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def clear_scratch(kept: bool = False) -> None:
-    """Delete the intermediate tables written so far.
-
-    Call it only when all results that depend on them have been written.
-    """
-    for paths in (_SCRATCH, _KEPT)[: 1 + kept]:
-        while paths:
-            spark, path = paths.pop()
-            try:
-                delete(spark, path)
-            except Exception:  # the session may be gone already
-                continue
+def clear_scratch(owner: str | None) -> None:
+    """Delete the intermediate tables of ``owner``, whose results have been written by now."""
+    for spark, path in _SCRATCH.pop(owner, []):
+        try:
+            delete(spark, path)
+        except Exception:  # the session may be gone already
+            continue
 
 
-atexit.register(clear_scratch, True)
+@atexit.register
+def _clear_all() -> None:
+    for owner in list(_SCRATCH):
+        clear_scratch(owner)
 
 
 def free_names(taken: Iterable[str], *stems: str) -> list[str]:

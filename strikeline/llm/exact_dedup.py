@@ -1,23 +1,27 @@
 """Exact dedup as a stateful stream over an arrival log.
 
-1. A compact log (id, sequence number, digest of the normalised text, content
-   locator) is written to the shared folder, one row for every document.
+1. A compact log (id, sequence number, digest of the normalised text, hash of the
+   raw text) is written to the shared folder, one row for every document; it is
+   the only pass that normalises and hashes all texts.
 2. Structured Streaming reads it file by file (``trigger(availableNow)``) into
    a keyed aggregation whose state lives in RocksDB on the executors' disks and
    in the checkpoint folder.  Per digest the state retains the smallest id with
-   its locator, and the group's size.  There is no watermark: nothing expires,
+   its locator (sequence number and raw hash, by which id and text are found in
+   the table), and the group's size.  There is no watermark: nothing expires,
    so a stream that goes on later still finds every earlier text.
-3. On hits the full bytes are compared: every member of a group of several is
-   joined with the text of the row that stays.  Should bytes differ under one
-   digest, the rows of that digest are grouped again by their whole texts.
+3. On hits the full bytes are compared: the members of groups of several are
+   found by their locators, and of each digest the least and the greatest whole
+   text must be equal.  Should bytes differ under one digest, the rows of that
+   digest are grouped again by their whole texts.
 
-Partial aggregation keeps a hot group down to one row per task; the joins
-that bring results back to rows are plain equi-joins that AQE can split.
+Partial aggregation keeps a hot group down to one row per task, in the state as
+in the comparison; the joins that bring results back to rows have written tables
+on both sides, so AQE can split a hot key.
 
 Defined results: a null text counts as empty; among equal texts the row with
 the smallest id stays, null ids coming last; of repeated rows with that id
-exactly one stays; an empty table gives no rows; other columns are carried
-through by :func:`drop_repeats` and ignored by :func:`annotate`.
+exactly one stays; an empty table gives no rows; other columns, whatever their
+names, are carried through by :func:`drop_repeats` and ignored by :func:`annotate`.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strikeline.llm.common import materialise, scratch_path
+from strikeline.llm.common import free_names, materialise, scratch_path
 
-#: Digests of groups of several that are broadcast at most (32 bytes each); beyond it the texts are shuffled.
-BROADCAST_GROUPS = 200_000
+#: Locators that are broadcast at most (under 60 bytes each); beyond it the texts are shuffled.
+BROADCAST_ROWS = 200_000
 FILES_PER_TRIGGER = 100_000
 
 _ROCKSDB = {
@@ -50,13 +54,17 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def raw_hash(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
 def arrival_log(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """One row per document, in the shared folder: its id, number, digest and where its content lies."""
+    """One row per document, in the shared folder: its id, number, digest and the hash of its raw text."""
     log = docs.select(
         F.col(id_col).alias("id"),
         F.monotonically_increasing_id().alias("seq"),
         digest(normalised(F.col(text_col))).alias("digest"),
-        F.input_file_name().alias("locator"),
+        raw_hash(F.col(text_col)).alias("h"),
     )
     return materialise(log, "arrivals")
 
@@ -66,7 +74,7 @@ def run_stream(spark: SparkSession, log: DataFrame, files_per_trigger: int = FIL
     updates = scratch_path(spark, "dedup-updates")
     source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(log_path(log))
     state = source.groupBy("digest").agg(
-        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "seq", "locator")).alias("first"),
+        F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "seq", "h")).alias("first"),
         F.count("*").alias("group_size"),
     )
 
@@ -93,36 +101,38 @@ def log_path(log: DataFrame) -> str:
     return files[0].rsplit("/", 1)[0] if files else scratch_path(log.sparkSession, "none")
 
 
-def _members(docs: DataFrame, several: DataFrame, n: int, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """Id, digest and normalised text of the documents whose digest several rows have."""
-    texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"))
-    texts = texts.withColumn("digest", digest(F.col("body")))
-    keys = several.select("digest")
-    return texts.join(F.broadcast(keys) if n <= BROADCAST_GROUPS else keys, "digest", "left_semi")
+def at_locators(docs: DataFrame, found: DataFrame, id_col: str, h: Column) -> Column:
+    """The condition that a document lies where ``found`` (id, h) says."""
+    return docs[id_col].eqNullSafe(found["id"]) & (h == found["h"])
+
+
+def differing(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The digests under which whole texts differ; ``members`` has id, h and digest of the rows to compare."""
+    members = materialise(members.select("id", "h", "digest").distinct(), "dedup-members")
+    few = members.count() <= BROADCAST_ROWS
+    texts = docs.select(id_col, text_col)
+    found = texts.join(F.broadcast(members) if few else members, at_locators(texts, members, id_col, raw_hash(texts[text_col])))
+    found = found.select("digest", normalised(texts[text_col]).alias("body"))
+    return found.groupBy("digest").agg(F.min("body").alias("least"), F.max("body").alias("most")).where("least <> most").select("digest")
 
 
 def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
-    """One row per document: id, seq, digest, keep_id, keep_seq, group_size."""
+    """One row per document: id, h, seq, digest, keep_id, keep_seq, group_size."""
     spark = docs.sparkSession
     log = arrival_log(docs, id_col, text_col, digest)
     state = materialise(run_stream(spark, log, files_per_trigger), "dedup-groups")
     several = state.where("group_size > 1")
-    decided = log.join(state, "digest").select("id", "seq", "digest", F.col("first.id").alias("keep_id"), F.col("first.seq").alias("keep_seq"), "group_size")
-    n = several.count()
-    if not n:
+    decided = log.join(state, "digest").select("id", "h", "seq", "digest", F.col("first.id").alias("keep_id"), F.col("first.seq").alias("keep_seq"), "group_size")
+    if not several.take(1):
         return decided
-    members = _members(docs, several, n, id_col, text_col, digest)
-    kept = members.join(several.select("digest", F.col("first.id").alias("keep_id")), "digest").where(F.col("id").eqNullSafe(F.col("keep_id")))
-    kept = kept.groupBy("digest").agg(F.min("body").alias("kept_body"))
-    differ = members.join(kept, "digest").where(F.col("body") != F.col("kept_body")).select("digest").distinct()
-    differ = materialise(differ, "dedup-differ")
+    differ = materialise(differing(docs, log.join(several.select("digest"), "digest", "left_semi"), id_col, text_col), "dedup-differ")
     if not differ.take(1):
         return decided
     # one digest, several texts: the whole text decides
-    whole = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"), F.monotonically_increasing_id().alias("seq"))
+    whole = docs.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("h"), normalised(F.col(text_col)).alias("body"), F.monotonically_increasing_id().alias("seq"))
     whole = materialise(whole.withColumn("digest", digest(F.col("body"))).join(differ, "digest", "left_semi"), "dedup-whole")
     group = whole.groupBy("body").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "seq")).alias("first"), F.count("*").alias("group_size"))
-    again = whole.join(group, "body").select("id", "seq", "digest", F.col("first.id").alias("keep_id"), F.col("first.seq").alias("keep_seq"), "group_size")
+    again = whole.join(group, "body").select("id", "h", "seq", "digest", F.col("first.id").alias("keep_id"), F.col("first.seq").alias("keep_seq"), "group_size")
     return decided.join(differ, "digest", "left_anti").unionByName(again)
 
 
@@ -134,10 +144,14 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    kept = decide(docs, id_col, text_col).where("seq = keep_seq").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
-    rows = docs.withColumns({"__id": F.col(id_col), "__digest": sha256(normalised(F.col(text_col)))})
-    same = rows["__id"].eqNullSafe(kept["__id"]) & (rows["__digest"] == kept["__digest"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")
+    decided = materialise(decide(docs, id_col, text_col).select("id", "h", (F.col("seq") == F.col("keep_seq")).alias("kept")), "dedup-decided")
+    kept = decided.where("kept")
+    own_id, own_h = free_names(docs.columns, "id", "h")
+    rows = docs.withColumns({own_id: F.col(id_col), own_h: raw_hash(F.col(text_col))})
+    rows = rows.join(kept, at_locators(rows, kept, own_id, rows[own_h]), "left_semi")
+    if decided.groupBy("id", "h").count().where("count > 1").take(1):  # the same row twice: both lie at one locator
+        rows = rows.dropDuplicates([own_id, own_h])
+    return rows.drop(own_id, own_h)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

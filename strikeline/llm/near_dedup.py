@@ -357,10 +357,13 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def drop_near_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one of each component, with all their columns."""
     own_id, own_h = free_names(docs.columns, "id", "h")
-    kept = link(docs, id_col, text_col).where("kept").select("id", "h")
+    found = materialise(link(docs, id_col, text_col).select("id", "h", "kept"), "near-found")
+    kept = found.where("kept")
     rows = docs.withColumns({own_id: F.col(id_col), own_h: F.xxhash64(F.col(text_col).cast("string"))})
-    same = rows[own_id].eqNullSafe(kept["id"]) & rows[own_h].eqNullSafe(kept["h"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([own_id, own_h]).drop(own_id, own_h)
+    rows = rows.join(kept, rows[own_id].eqNullSafe(kept["id"]) & (rows[own_h] == kept["h"]), "left_semi")
+    if found.groupBy("id", "h").count().where("count > 1").take(1):  # the same row twice: one of them stays
+        rows = rows.dropDuplicates([own_id, own_h])
+    return rows.drop(own_id, own_h)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,12 +41,18 @@ def test_full_bytes_decide_when_digests_collide(spark):
 
 
 def test_filter_keeps_columns(spark):
-    docs = spark.createDataFrame([(i, t, "z", 0) for i, t in TEXTS], "doc_id long, text string, digest string, seq int")
+    docs = spark.createDataFrame([(i, t, i, "z", 0, "w") for i, t in TEXTS], "doc_id long, text string, __id long, __digest string, own_h int, OWN_ID string")
     kept = exact_dedup.drop_repeats(docs)
     assert kept.schema == docs.schema
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(i for i, _, _, now in brute(TEXTS) if now)
 
 
+def test_one_of_equal_rows_stays(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "a  b"), (2, "c"), (None, None), (None, None)], "doc_id long, text string")
+    found = exact_dedup.drop_repeats(docs).collect()
+    assert sorted(str(r.doc_id) for r in found) == ["1", "2", "None"]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.annotate(docs).collect() == []

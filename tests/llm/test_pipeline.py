@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline
 from strikeline.llm import quality
 
@@ -60,3 +62,36 @@ def test_stages(spark, tmp_path):
     assert ids(clean) == ids(near) - hit
     assert ids(packed) == ids(clean)
     assert {r.sequence_id for r in corpus_pipeline.run(spark, SF).collect()} == {r.sequence_id for r in packed.collect()}
+
+
+ODD = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (4, "One  two three four five six. " * 400), (5, "x" * 100_000), (None, "left alone"), (6, " \n"), (7, "one two")]
+
+
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
+def test_odd_rows(spark, number):
+    """Nulls, empty and long texts, repeated rows, clashing columns and an empty table, stage by stage."""
+    name, stage = corpus_pipeline.STAGES[number]
+    schema = "doc_id long, text string, __id long, own_h string, __found int, score double, id string"
+    docs = spark.createDataFrame([(i, t, i, "x", 1, 0.5, "y") for i, t in ODD], schema)
+    found, last = stage(spark, docs, SF), number == len(corpus_pipeline.STAGES) - 1
+    kept = [str(r.doc_id) for r in found.collect()]
+    if not last:
+        assert found.schema == docs.schema
+        want = {"exact_dedup": ["1", "3", "4", "5", "6", "None"], "near_dedup": ["1", "2", "3", "4", "5", "6", "None"], "decontamination": [str(i) for i, _ in ODD]}
+        assert name not in want or sorted(kept) == sorted(want[name])
+    else:
+        assert set(kept) == {str(i) for i, _ in ODD}
+    none = stage(spark, docs.limit(0), SF)
+    assert none.collect() == [] and none.schema == found.schema
+
+
+def test_scratch_belongs_to_its_run(spark):
+    """A stage deletes what its own run wrote, and no table of another query that is still to be read."""
+    from strikeline.llm import exact_dedup
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "doc_id long, text string")
+    waiting = exact_dedup.annotate(docs)
+    corpus_pipeline.good_quality(spark, docs, SF).collect()
+    corpus_pipeline.exact_repeats(spark, docs, SF).collect()
+    corpus_pipeline.near_repeats(spark, docs, SF).collect()
+    assert len(waiting.collect()) == 3
