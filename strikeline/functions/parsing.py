@@ -74,7 +74,15 @@ def parse_timestamp(text: Column, time: Column | None = None, source_tz: str = "
     if time is not None:
         joined = F.concat_ws(" ", t, F.trim(time)).try_cast("timestamp_ntz")
         naive = F.when(F.length(t) <= 10, F.coalesce(joined, naive)).otherwise(naive)
-    return F.coalesce(F.when(zoned, t.try_cast("timestamp")), F.to_utc_timestamp(naive.cast("timestamp"), source_tz))
+    return F.coalesce(F.when(zoned, t.try_cast("timestamp")), local_to_utc(naive.cast("timestamp"), source_tz))
+
+
+def local_to_utc(naive: Column, tz: str) -> Column:
+    """A local time as an instant; null for local times that a zone skips or has twice."""
+    at = F.to_utc_timestamp(naive, tz)
+    hour = F.expr("INTERVAL 1 HOUR")
+    twice = (F.from_utc_timestamp(at + hour, tz) == naive) | (F.from_utc_timestamp(at - hour, tz) == naive)
+    return F.when((F.from_utc_timestamp(at, tz) == naive) & ~twice, at)
 
 
 def number_text(x: Column) -> Column:

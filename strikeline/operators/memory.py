@@ -6,8 +6,6 @@ apart by ``instrument_id``.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,47 +98,26 @@ def surrogate(returns: DataFrame, seed: int = 20260918) -> DataFrame:
     return mixed.select(KEY, "ts", F.col("x").alias("log_ret"))
 
 
-def hurst_of(x: np.ndarray, order: int = 1) -> float:
-    """The same exponent of one array, for resamples."""
-    y, scales, f = np.cumsum(x - x.mean()), [], []
-    for s in SCALES:
-        if s > len(x) // 4:
-            continue
-        used = len(x) - len(x) % s
-        parts = np.concatenate([y[:used].reshape(-1, s), y[len(x) - used :].reshape(-1, s)])
-        k = np.arange(s, dtype=float)
-        base = np.vander(k, order + 1)
-        rest = parts.T - base @ np.linalg.lstsq(base, parts.T, rcond=None)[0]
-        f2 = (rest * rest).mean(axis=0)
-        f2 = f2[np.isfinite(f2) & (f2 > 0)]
-        if len(f2):
-            scales.append(s)
-            f.append(np.sqrt(f2.mean()))
-    return float(np.polyfit(np.log(scales), np.log(f), 1)[0]) if len(scales) >= 4 else float("nan")
+def resamples(returns: DataFrame, reps: int = 100, seed: int = 20260918) -> DataFrame:
+    """Moving-block resamples of every series, as series named ``<instrument>|<rep>`` (ts: their places).
 
+    Blocks hold the square root of the series' length (4 at least) and begin where md5 of seed,
+    resample and block says, so the same everywhere; a block's rows are found by an equi-join.
+    """
+    r = _numbered(returns).select(KEY, "i", "x")
+    size = r.groupBy(KEY).agg(F.count("*").alias("n")).withColumn("b", F.greatest(F.lit(4), F.round(F.sqrt("n"))).cast("long")).where("n >= b")
+    plan = size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.col("b")) - 1)))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "rep", "block")), 1, 8), 16, 10).cast("long")
+    plan = plan.withColumn("start", number % (F.col("n") - F.col("b") + 1)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
+    plan = plan.select(KEY, "rep", (F.col("block") * F.col("b") + F.col("k")).alias("ts"), (F.col("start") + F.col("k")).alias("i"), "n").where("ts < n")
+    return plan.join(r, [KEY, "i"]).select(F.concat_ws("|", KEY, "rep").alias(KEY), "ts", F.col("x").alias("log_ret"))
 
-def bootstrap_hurst(returns: DataFrame, reps: int = 100, seed: int = 20260918, order: int = 1) -> DataFrame:
-    """Moving-block bootstrap: 2.5 and 97.5 % quantiles of the exponent, null with too few valid resamples.
 
-    Each instrument's series is one array; resamples of an instrument are spread over groups.
-    """
-    r = _numbered(returns).groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
-    spread = r.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).repartition(KEY, "rep")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for s, rep in zip(pdf["s"], pdf["rep"], strict=True):
-                x = np.array([e["x"] for e in s])
-                n, rng = len(x), np.random.default_rng([seed, int(rep)])
-                block = max(4, round(np.sqrt(n)))
-                if n < LEAST_RETURNS:
-                    out.append(float("nan"))
-                    continue
-                starts = rng.integers(0, n - block + 1, -(-n // block))
-                out.append(hurst_of(np.concatenate([x[i : i + block] for i in starts])[:n], order))
-            yield pd.DataFrame({KEY: pdf[KEY], "h": out})
-
-    h = spread.mapInPandas(run, f"{KEY} string, h double").where(~F.isnan("h"))
+def bootstrap_hurst(returns: DataFrame, reps: int = 100, seed: int = 20260918, order: int = 1) -> DataFrame:
+    """2.5 and 97.5 % quantiles of the exponent over moving-block resamples, null with too few valid ones."""
+    h = dfa_hurst(resamples(returns, reps, seed), order).where(F.col("h").isNotNull() & ~F.isnan("h"))
+    of = F.regexp_replace(KEY, r"\|\d+$", "")
     enough = F.count("*") >= max(5, reps // 4)
-    return h.groupBy(KEY).agg(F.count("*").alias("valid"), F.when(enough, F.percentile("h", 0.025)).alias("low"), F.when(enough, F.percentile("h", 0.975)).alias("high"))
+    found = h.groupBy(of.alias(KEY)).agg(F.count("*").alias("valid"), F.when(enough, F.percentile("h", 0.025)).alias("low"), F.when(enough, F.percentile("h", 0.975)).alias("high"))
+    every = _numbered(returns).select(KEY).distinct()  # a series too short for an exponent has none and stays
+    return every.join(found, KEY, "left").withColumn("valid", F.coalesce("valid", F.lit(0).cast("long")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strikeline.functions.parsing import coerce_number
 
+# Fields that a row needs, fields that are numbers, and prices (the codes below are fixed too).
 REQUIRED = ("timestamp", "available_at", "instrument_id", "underlying_id", "expiry", "strike", "open", "high", "low", "close", "volume", "open_interest")
 CHECKED = ("open", "high", "low", "close", "strike", "volume", "open_interest")
 PRICES = ("open", "high", "low", "close", "last_price", "settlement")
@@ -24,10 +25,8 @@ def _text(name: str) -> Column:
 def reasons(rows: DataFrame, decision: Column, order: list[str], keys: tuple[str, ...] = ("timestamp", "instrument_id")) -> DataFrame:
     """Add ``reasons``, the sorted distinct codes of each row (fields may be text or typed)."""
     when = lambda cond, code: F.when(F.coalesce(cond, F.lit(False)), F.lit(code))
-    ts, available, expiry = (F.col(f"__{n}") for n in ("ts", "av", "ex"))
-    num = {n: F.col(f"__{n}") for n in CHECKED}
-    time = lambda n: _text(n).try_cast("timestamp")
-    x = rows.withColumns({"__ts": time("timestamp"), "__av": time("available_at"), "__ex": time("expiry"), **{f"__{n}": coerce_number(F.col(n)) for n in CHECKED}})
+    ts, available, expiry = (_text(n).try_cast("timestamp") for n in ("timestamp", "available_at", "expiry"))
+    num = {n: coerce_number(F.col(n)) for n in CHECKED}
     missing = F.exists(F.array(*(F.coalesce(_text(n), F.lit("")) for n in REQUIRED)), lambda v: v == "")
     bad_time = ts.isNull() | available.isNull() | expiry.isNull()
     # the first offending field decides between the two codes
@@ -43,10 +42,14 @@ def reasons(rows: DataFrame, decision: Column, order: list[str], keys: tuple[str
         when((num["volume"] < 0) | (num["open_interest"] < 0), "NEGATIVE_ACTIVITY"),
         when(~F.coalesce(F.col("option_type").isin("CE", "PE"), F.lit(False)), "INVALID_OPTION_TYPE"),
     )
+    # a row's own codes come first, so that the window moves them and not what they were made of
+    name = "own_reasons"
+    while name.lower() in {c.lower() for c in rows.columns}:
+        name += "_"
     repeated = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1
     own = F.when(missing, F.array(F.lit("MISSING_REQUIRED_FIELD"))).when(bad_time, F.array(F.lit("INVALID_TIMESTAMP"))).otherwise(later)
-    found = F.array_sort(F.array_distinct(F.array_compact(F.concat(own, F.array(when(repeated, "DUPLICATE_CANONICAL_KEY"))))))
-    return x.withColumn("reasons", found).drop(*(c for c in x.columns if c.startswith("__")))
+    found = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.col(name), F.array(when(repeated, "DUPLICATE_CANONICAL_KEY"))))))
+    return rows.withColumn(name, own).withColumn("reasons", found).drop(name)
 
 
 def reason_counts(judged: DataFrame) -> DataFrame:
@@ -59,8 +62,11 @@ def report(judged: DataFrame) -> DataFrame:
     return judged.agg(F.count("*").alias("n_rows"), F.count_if(F.size("reasons") == 0).alias("accepted"), bad.alias("excluded"), F.when(bad > 0, "REJECT_ROWS").otherwise("PASS").alias("status"))
 
 
-def snapshot_checks(panel: DataFrame) -> DataFrame:
-    """One row per check: name, value, hard, failed.  One aggregation, and one for repeated keys."""
+def snapshot_checks(panel: DataFrame, files: DataFrame | None = None, errors: DataFrame | None = None) -> DataFrame:
+    """One row per check: name, value, hard, failed.  One aggregation, and one for repeated keys.
+
+    ``files`` and ``errors`` have one row per file read and per file that could not be.
+    """
     neg = F.lit(False)
     for p in PRICES:
         neg = neg | F.coalesce(F.col(p) < 0, F.lit(False))
@@ -89,9 +95,17 @@ def snapshot_checks(panel: DataFrame) -> DataFrame:
     rows = one.select(tall.alias("t")).select("t.*")
     keys = panel.groupBy(*CONTRACT_KEY).agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).cast("long").alias("value"))
     rows = rows.unionByName(keys.select(F.lit("duplicate_contract_keys").alias("check"), "value", F.lit(True).alias("hard")))
+    for name, table, hard in (("files", files, False), ("file_errors", errors, True)):
+        count = panel.sparkSession.range(1).select(F.lit(0).cast("long").alias("value")) if table is None else table.agg(F.count("*").alias("value"))
+        rows = rows.unionByName(count.select(F.lit(name).alias("check"), "value", F.lit(hard).alias("hard")))
     return rows.withColumn("failed", F.col("hard") & (F.col("value") > 0))
 
 
+def exit_code(checks: DataFrame) -> int:
+    """What a script that runs the checks should end with: 0 if none failed, else 1."""
+    return int(checks.where("failed").limit(1).count() > 0)
+
+
 def status(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count_if("failed").alias("hard_failures"), F.when(F.count_if("failed") > 0, "FAIL").otherwise("PASS").alias("status"))
 

@@ -297,9 +297,27 @@ def surrogate_hurst(spark, sf):
     return rounded(M.dfa_hurst(M.surrogate(D.returns(V.hourly_bars(spark, sf)))))
 
 
-@register()
+_BLOCKS = (
+    V.RETURNS
+    + """, plain AS (SELECT instrument_id, row_number() OVER (PARTITION BY instrument_id ORDER BY ts) - 1 AS i, log_ret AS x FROM returns WHERE log_ret IS NOT NULL
+), sizes AS (SELECT instrument_id, count(*) AS n, greatest(4, CAST(round(sqrt(count(*))) AS BIGINT)) AS b FROM plain GROUP BY 1
+), reps AS (SELECT *, unnest(range(100)) AS rep FROM sizes WHERE n >= b
+), blocks AS (SELECT *, unnest(range(CAST(ceil(n / b) AS BIGINT))) AS block FROM reps
+), starts AS (SELECT *, CAST('0x' || substr(md5('20260918|' || rep || '|' || block), 1, 8) AS BIGINT) % (n - b + 1) AS start FROM blocks
+), src AS (
+  SELECT s.instrument_id || '|' || rep AS instrument_id, block * b + p.i - start AS i, x
+  FROM starts s JOIN plain p ON s.instrument_id = p.instrument_id AND p.i BETWEEN start AND start + b - 1 WHERE block * b + p.i - start < n
+)"""
+)
+
+
+@register(
+    f"""WITH {_dfa_sql(_BLOCKS)}{_FQ}, hs AS (SELECT split_part(instrument_id, '|', 1) AS instrument_id, h FROM hq WHERE q = 2)
+SELECT z.instrument_id, count(h) AS valid, round(CASE WHEN count(h) >= 25 THEN quantile_cont(h, 0.025) END, 9) + 0.0 AS low, round(CASE WHEN count(h) >= 25 THEN quantile_cont(h, 0.975) END, 9) + 0.0 AS high
+FROM (SELECT DISTINCT instrument_id FROM plain) z LEFT JOIN hs ON z.instrument_id = hs.instrument_id GROUP BY 1"""
+)
 def bootstrap_hurst(spark, sf):
-    return M.bootstrap_hurst(D.returns(V.hourly_bars(spark, sf)))
+    return rounded(M.bootstrap_hurst(D.returns(V.hourly_bars(spark, sf))))
 
 
 # --- regimes and joint study ------------------------------------------------
@@ -464,7 +482,7 @@ def quality_report(spark, sf):
 _NEGATIVE = "coalesce(least(open, high, low, close, last_price, settlement) < 0, false)"
 _CHECKS = {
     "rows": ("count(*)", False),
-    "non_option_type": ("count(*) FILTER (option_type NOT IN ('CE', 'PE'))", True),
+    "non_option_type": ("count(*) FILTER (option_type IS NULL OR option_type NOT IN ('CE', 'PE'))", True),
     "missing_trade_date": ("count(*) FILTER (trade_date IS NULL)", True),
     "missing_expiry": ("count(*) FILTER (expiry IS NULL)", True),
     "nonpositive_strike": ("count(*) FILTER (strike <= 0)", True),
@@ -482,18 +500,30 @@ _CHECKS = {
     "unique_expiries": ("count(DISTINCT expiry)", False),
     "unique_trade_dates": ("count(DISTINCT trade_date)", False),
     "duplicate_contract_keys": ("(SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM panel GROUP BY trade_date, expiry, strike, option_type))", True),
+    "files": ("count(DISTINCT trade_date)", False),
+    "file_errors": ("(SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_orderstatus = 'P')", True),
 }
 _CHECK_SQL = f"WITH {V.PANEL}, checks AS ({' UNION '.join(f'''SELECT '{n}' AS "check", {e} AS value, {str(h).lower()} AS hard FROM panel''' for n, (e, h) in _CHECKS.items())})"
 
 
+def _bad_files(spark, sf):
+    return V.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderpriority").alias("file")).distinct()
+
+
+def _snapshot(spark, sf):
+    """Every day's rows count as one file; some files could not be read."""
+    panel = V.option_panel(spark, sf)
+    return quality.snapshot_checks(panel, panel.select("trade_date").distinct(), _bad_files(spark, sf))
+
+
 @register(f"{_CHECK_SQL} SELECT *, hard AND value > 0 AS failed FROM checks")
 def snapshot_checks(spark, sf):
-    return quality.snapshot_checks(V.option_panel(spark, sf))
+    return _snapshot(spark, sf)
 
 
 @register(f"{_CHECK_SQL} SELECT count(*) FILTER (hard AND value > 0) AS hard_failures, CASE WHEN count(*) FILTER (hard AND value > 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM checks")
 def snapshot_status(spark, sf):
-    return quality.status(quality.snapshot_checks(V.option_panel(spark, sf)))
+    return quality.status(_snapshot(spark, sf))
 
 
 def _days(spark, sf, name, column):
@@ -530,30 +560,65 @@ def recon_routes(spark, sf):
     return rows.groupBy("route", "status").agg(F.count("*").alias("n"))
 
 
-_HISTORY = {
+_PCT = {f"{side}_missing_{name}_pct": f"100 * avg(CAST({field} IS NULL AS INT)) FILTER (trade_date {op} DATE '1998-07-08')" for name, field in (("last_price", "last_price"), ("underlying", "underlying_price"), ("lot_size", "lot_size")) for side, op in (("legacy", "<"), ("udiff", ">="))}
+_PANEL_CHECKS = {
     "normalized_rows": "count(*)",
     "normalized_trade_dates": "count(DISTINCT trade_date)",
     "legacy_rows": "count(*) FILTER (trade_date < DATE '1998-07-08')",
     "udiff_rows": "count(*) FILTER (trade_date >= DATE '1998-07-08')",
+    **_PCT,
     "zero_volume_rows": "count(*) FILTER (volume = 0)",
     "zero_open_interest_rows": "count(*) FILTER (open_interest = 0)",
     "ce_rows": "count(*) FILTER (option_type = 'CE')",
     "pe_rows": "count(*) FILTER (option_type = 'PE')",
     "unique_expiries": "count(DISTINCT expiry)",
-    "boundary_trade_dates": "count(DISTINCT trade_date) FILTER (trade_date BETWEEN DATE '1998-07-01' AND DATE '1998-07-15')",
     "negative_price_rows": f"count(*) FILTER ({_NEGATIVE})",
     "expiry_before_trade": "count(*) FILTER (expiry < trade_date)",
     "nonpositive_strike": "count(*) FILTER (strike <= 0)",
     "duplicate_contract_keys": _CHECKS["duplicate_contract_keys"][0],
-    "missing_normalized_dates": "(SELECT count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT trade_date FROM panel))",
-    "unexpected_normalized_dates": "count(DISTINCT trade_date) FILTER (trade_date NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders))",
+    "normalized_files": "count(DISTINCT trade_date)",
+    "file_errors": _CHECKS["file_errors"][0],
+}
+_RECORD_CHECKS = {
+    "manifest_records": "count(*)",
+    "validated_days_from_manifests": "count(DISTINCT day) FILTER (status = 'VALIDATED')",
+    "route_errors": "count(*) FILTER (route <> CASE WHEN day >= DATE '1998-07-08' THEN 'udiff' ELSE 'legacy' END)",
+    "weekday_no_archive_count": "count(*) FILTER (status = 'NO_ARCHIVE' AND isodow(day) < 6)",
 }
-_HARD = ("negative_price_rows", "expiry_before_trade", "nonpositive_strike", "duplicate_contract_keys", "missing_normalized_dates", "unexpected_normalized_dates")
+_YEARS = range(1993, 2000)
+_EXPECTED = ", ".join(map(str, _YEARS))
+_LIST_CHECKS = {  # each gives the values of a list
+    "boundary_trade_dates": "SELECT trade_date AS v FROM panel WHERE trade_date BETWEEN DATE '1998-07-01' AND DATE '1998-07-15'",
+    "weekday_no_archive_days": "SELECT day AS v FROM records WHERE status = 'NO_ARCHIVE' AND isodow(day) < 6",
+    "missing_normalized_dates": "SELECT day AS v FROM records WHERE status = 'VALIDATED' AND day NOT IN (SELECT trade_date FROM panel)",
+    "unexpected_normalized_dates": "SELECT trade_date AS v FROM panel WHERE trade_date NOT IN (SELECT day FROM records WHERE status = 'VALIDATED')",
+    "expected_years": f"SELECT unnest([{_EXPECTED}]) AS v",
+    "years_found": "SELECT year(day) AS v FROM records",
+    "missing_year_manifests": f"SELECT v FROM (SELECT unnest([{_EXPECTED}]) AS v) WHERE v NOT IN (SELECT year(day) FROM records)",
+    "unexpected_year_manifests": f"SELECT year(day) AS v FROM records WHERE year(day) NOT IN ({_EXPECTED})",
+}
+_HISTORY_SQL = f"""WITH {V.PANEL}, records AS (
+  SELECT CAST(o_orderdate AS DATE) AS day, CASE o_orderstatus WHEN 'F' THEN 'VALIDATED' WHEN 'O' THEN 'NO_ARCHIVE' END AS status,
+    CASE WHEN o_orderdate >= DATE '1998-07-08' AND o_orderstatus <> 'P' THEN 'udiff' ELSE 'legacy' END AS route, o_orderpriority AS source_tier FROM orders
+), checks AS (
+  {" UNION ".join(f"SELECT '{n}' AS check_name, CAST({e} AS DOUBLE) AS value, NULL AS detail FROM panel" for n, e in _PANEL_CHECKS.items())}
+  UNION {" UNION ".join(f"SELECT '{n}', CAST({e} AS DOUBLE), NULL FROM records" for n, e in _RECORD_CHECKS.items())}
+  UNION {" UNION ".join(f"SELECT '{n}', CAST(count(DISTINCT v) AS DOUBLE), coalesce(string_agg(DISTINCT CAST(v AS VARCHAR), ',' ORDER BY CAST(v AS VARCHAR)), '') FROM ({e})" for n, e in _LIST_CHECKS.items())}
+  UNION SELECT 'manifest_count', CAST(count(DISTINCT year(day)) AS DOUBLE), NULL FROM records
+  UNION SELECT 'status_counts', CAST(count(*) AS DOUBLE), string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT coalesce(status, 'MISSING') AS k, count(*) AS n FROM records GROUP BY 1)
+  UNION SELECT 'source_tiers', CAST(count(*) AS DOUBLE), string_agg(k || '=' || n, ',' ORDER BY k) FROM (SELECT coalesce(CAST(source_tier AS VARCHAR), 'missing') AS k, count(*) AS n FROM records GROUP BY 1)
+)
+SELECT check_name AS "check", round(value, 9) + 0.0 AS value, detail, check_name IN {reconcile.HARD} AS hard, check_name IN {reconcile.HARD} AND coalesce(value, 0) > 0 AS failed FROM checks"""
 
 
-@register(f"WITH {V.PANEL}, checks AS ({' UNION '.join(f'''SELECT '{n}' AS "check", {e} AS value, {str(n in _HARD).lower()} AS hard FROM panel''' for n, e in _HISTORY.items())}) SELECT *, hard AND value > 0 AS failed FROM checks")
+@register(_HISTORY_SQL)
 def historical_checks(spark, sf):
-    return reconcile.historical_checks(V.option_panel(spark, sf), _days(spark, sf, "orders", "o_orderdate"), "1998-07-08", "1998-07-01", "1998-07-15")
+    panel, day = V.option_panel(spark, sf), F.to_date("o_orderdate")
+    status = F.when(F.col("o_orderstatus") == "F", "VALIDATED").when(F.col("o_orderstatus") == "O", "NO_ARCHIVE")
+    told = F.when(F.col("o_orderstatus") != "P", P.route(day, "1998-07-08")).otherwise("legacy")
+    records = V.table(spark, sf, "orders").select(day.alias("day"), status.alias("status"), told.alias("route"), F.col("o_orderpriority").alias("source_tier"))
+    manifests = records.select(F.year("day").alias("year")).distinct()
+    return rounded(reconcile.historical_checks(panel, records, manifests, panel.select("trade_date").distinct(), _bad_files(spark, sf), list(_YEARS), "1998-07-08", "1998-07-01", "1998-07-15"))
 
 
 # --- parsing and projections ------------------------------------------------
@@ -675,3 +740,6 @@ def status_counts(spark, sf):
     """Group counts with their share: the share is a window over a handful of groups."""
     g = V.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("status")).agg(F.count("*").alias("n"))
     return g.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))))
+
+
+from strikeline.plans import sourced  # noqa: E402, F401  (its queries register themselves here)

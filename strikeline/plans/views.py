@@ -43,7 +43,7 @@ def option_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         day.alias("trade_date"),
         F.date_add(day, F.col("l_quantity").cast("int") - 5).alias("expiry"),
         F.when(F.col("l_quantity") == 7, -p).otherwise(p).alias("strike"),
-        F.when(F.col("l_returnflag") == "A", "CE").when(F.col("l_returnflag") == "R", "PE").otherwise("XX").alias("option_type"),
+        F.when(F.col("l_returnflag") == "A", "CE").when(F.col("l_returnflag") == "R", "PE").when(F.col("l_linenumber") < 4, "XX").alias("option_type"),
         p.alias("open"),
         (p * (1 + tax)).alias("high"),
         (p * (1 - disc)).alias("low"),
@@ -60,7 +60,7 @@ def option_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 PANEL = """panel AS (
   SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS trade_date, CAST(l_shipdate AS DATE) + (CAST(l_quantity AS INT) - 5) AS expiry,
     CASE WHEN l_quantity = 7 THEN -l_extendedprice ELSE l_extendedprice END AS strike,
-    CASE l_returnflag WHEN 'A' THEN 'CE' WHEN 'R' THEN 'PE' ELSE 'XX' END AS option_type,
+    CASE WHEN l_returnflag = 'A' THEN 'CE' WHEN l_returnflag = 'R' THEN 'PE' WHEN l_linenumber < 4 THEN 'XX' END AS option_type,
     l_extendedprice AS open, l_extendedprice * (1 + l_tax) AS high, l_extendedprice * (1 - l_discount) AS low, l_extendedprice * (1 + l_tax - l_discount) AS close,
     CASE WHEN l_discount > 0 THEN l_extendedprice END AS last_price, CASE WHEN l_quantity = 9 THEN -1.0 ELSE l_extendedprice END AS settlement,
     l_quantity AS volume, l_quantity - 1 AS open_interest, CASE WHEN l_tax > 0 THEN l_extendedprice END AS underlying_price,
@@ -120,8 +120,8 @@ JUDGED = f"""rows AS (
 
 
 def contract_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as contracts: some have two overlapping versions, some none."""
-    p = table(spark, sf_dir, "part").where("p_size % 7 != 0")
+    """Parts as contracts: some have two overlapping versions."""
+    p = table(spark, sf_dir, "part")
     start = F.date_add(F.lit("1995-01-01").cast("date"), F.col("p_size") * 20)
     first = p.select(F.col("p_partkey").alias("contract_id"), start.cast("timestamp_ntz").alias("effective_from"), F.when(F.col("p_size") % 5 != 0, F.date_add(start, 700).cast("timestamp_ntz")).alias("effective_to"), F.col("p_size").cast("double").alias("lot_size"))
     second = p.where("p_size % 3 = 0").select(F.col("p_partkey").alias("contract_id"), F.date_add(start, 500).cast("timestamp_ntz").alias("effective_from"), F.lit(None).cast("timestamp_ntz").alias("effective_to"), (F.col("p_size") * 2.0).alias("lot_size"))
@@ -132,16 +132,16 @@ MASTER = """master AS (
   SELECT *, effective_from AS available_at FROM (
     SELECT p_partkey AS contract_id, CAST(DATE '1995-01-01' + p_size * 20 AS TIMESTAMP) AS effective_from,
       CASE WHEN p_size % 5 <> 0 THEN CAST(DATE '1995-01-01' + (p_size * 20 + 700) AS TIMESTAMP) END AS effective_to, CAST(p_size AS DOUBLE) AS lot_size
-    FROM part WHERE p_size % 7 <> 0
+    FROM part
     UNION ALL
-    SELECT p_partkey, CAST(DATE '1995-01-01' + (p_size * 20 + 500) AS TIMESTAMP), NULL, p_size * 2.0 FROM part WHERE p_size % 7 <> 0 AND p_size % 3 = 0
+    SELECT p_partkey, CAST(DATE '1995-01-01' + (p_size * 20 + 500) AS TIMESTAMP), NULL, p_size * 2.0 FROM part WHERE p_size % 3 = 0
   )
 )"""
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as observations of contracts."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_index"), (F.col("o_orderkey") % 2500).alias("contract_id"), F.col("o_orderdate").alias("ts"))
+    """Orders as observations of contracts over the whole range of parts and a little beyond it."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_index"), F.expr("o_custkey * 14 div 10").alias("contract_id"), F.col("o_orderdate").alias("ts"))
 
 
-OBSERVATIONS = "observations AS (SELECT o_orderkey AS record_index, o_orderkey % 2500 AS contract_id, o_orderdate AS ts FROM orders)"
+OBSERVATIONS = "observations AS (SELECT o_orderkey AS record_index, o_custkey * 14 // 10 AS contract_id, o_orderdate AS ts FROM orders)"

@@ -36,7 +36,7 @@ OPTION_ALIASES = {
     "low": ("low", "low price", "low_price", "LwPric"),
     "close": ("close", "close price", "close_price", "ClsPric"),
     "settlement": ("settle price", "settle_price", "daily settlement price", "settlement_price", "settle_pr", "SttlmPric"),
-    "last_price": ("ltp", "last price", "last_price", "last", "LastPric"),
+    "last_price": ("ltp", "last", "last price", "last_price", "LastPric"),
     "volume": ("no. of contracts", "no of contracts", "volume", "contracts", "TtlTradgVol"),
     "open_interest": ("open int", "open interest", "open interest(oi)", "oi", "open_int", "OpnIntrst"),
     "change_in_oi": ("change in oi", "change oi", "change_in_oi", "chg_in_oi", "ChngInOpnIntrst"),

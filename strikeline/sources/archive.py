@@ -1,21 +1,23 @@
 """A date-partitioned archive as a Python data source, and the manifests of acquisitions and snapshots.
 
-One partition per day; the fetcher is pluggable.  The one here looks for the
-day's file in a list of folders (a primary and its mirrors, in order), retries
-with growing pauses, and calls a day missing only if no tier has it.
+A partition is a run of days (``daysPerTask``); the fetcher is pluggable.  The one
+here looks for the day's file in a list of folders (a primary and its mirrors, in
+order; paths or addresses that every executor reaches), retries with growing
+pauses, and calls a day missing only if no tier has it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strikeline.sources.shared import at
+
 CUTOVER = dt.date(2024, 7, 8)
 SCHEMA = "day date, route string, status string, source_tier int, attempts array<struct<tier: int, outcome: string>>, bytes long, sha256 string, content binary"
 
@@ -24,16 +26,21 @@ def route_of(day: dt.date, cutover: dt.date = CUTOVER) -> str:
     return "udiff" if day >= cutover else "legacy"
 
 
+# Names of months, files and folders of the public archive.
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+
+
 def file_name(day: dt.date, cutover: dt.date = CUTOVER) -> str:
-    """What the archive calls a day's file."""
+    """Where, below its root, the archive keeps a day's file."""
     if route_of(day, cutover) == "udiff":
-        return f"BhavCopy_FO_{day:%Y%m%d}.csv.zip"
-    return f"fo{day:%d}{day:%b}{day:%Y}bhav.csv.zip".replace(f"{day:%b}", f"{day:%b}".upper())
+        return f"content/fo/BhavCopy_NSE_FO_0_0_0_{day:%Y%m%d}_F_0000.csv.zip"
+    month = MONTHS[day.month - 1]
+    return f"content/historical/DERIVATIVES/{day:%Y}/{month}/fo{day:%d}{month}{day:%Y}bhav.csv.zip"
 
 
-class Day(InputPartition):
-    def __init__(self, day: dt.date):
-        self.day = day
+class Days(InputPartition):
+    def __init__(self, days: list[dt.date]):
+        self.days = days
 
 
 class ArchiveReader(DataSourceReader):
@@ -41,17 +48,20 @@ class ArchiveReader(DataSourceReader):
         self.first, self.last = (dt.date.fromisoformat(options[k]) for k in ("start", "end"))
         self.tiers = options["tiers"].split(",")
         self.retries, self.pause = int(options.get("retries", 4)), float(options.get("pause", 0))
+        self.together, self.delay = int(options.get("daysPerTask", 1)), float(options.get("delay", 0))
 
     def partitions(self):
-        return [Day(self.first + dt.timedelta(days=i)) for i in range((self.last - self.first).days + 1)]
+        days = [self.first + dt.timedelta(days=i) for i in range((self.last - self.first).days + 1)]
+        return [Days(days[i : i + self.together]) for i in range(0, len(days), self.together)]
 
     def fetch(self, day: dt.date) -> tuple[str, int | None, list[tuple[int, str]], bytes | None]:
         attempts: list[tuple[int, str]] = []
         for tier, folder in enumerate(self.tiers):
-            path = os.path.join(folder, file_name(day))
+            system, root = at(folder)
+            path = f"{root.rstrip('/')}/{file_name(day)}"
             for k in range(self.retries + 1):
                 try:
-                    with open(path, "rb") as f:
+                    with system.open_input_stream(path) as f:
                         content = f.read()
                     attempts.append((tier, "OK"))
                     return "VALIDATED", tier, attempts, content
@@ -65,8 +75,10 @@ class ArchiveReader(DataSourceReader):
         return "NO_ARCHIVE" if missing else "ERROR", None, attempts, None
 
     def read(self, partition):
-        status, tier, attempts, content = self.fetch(partition.day)
-        yield partition.day, route_of(partition.day), status, tier, attempts, len(content) if content is not None else None, hashlib.sha256(content).hexdigest() if content is not None else None, content
+        for i, day in enumerate(partition.days):
+            time.sleep(self.delay if i else 0)  # the least pause between two requests of a task
+            status, tier, attempts, content = self.fetch(day)
+            yield day, route_of(day), status, tier, attempts, len(content) if content is not None else None, hashlib.sha256(content).hexdigest() if content is not None else None, content
 
 
 class ArchiveSource(DataSource):
@@ -83,6 +95,24 @@ class ArchiveSource(DataSource):
         return ArchiveReader(dict(self.options))
 
 
+def write_raw(days: DataFrame, folder: str) -> DataFrame:
+    """Preserve the bytes of every day that has any, unchanged, under the archive's own names; (day, path, bytes, sha256)."""
+
+    def run(batches):
+        system, root = at(folder)
+        for pdf in batches:
+            paths = []
+            for day, content in zip(pdf["day"], pdf["content"], strict=True):
+                path = f"{root.rstrip('/')}/{file_name(day)}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as f:
+                    f.write(content)
+                paths.append(path)
+            yield pdf.assign(path=paths, bytes=pdf["content"].map(len), sha256=[hashlib.sha256(c).hexdigest() for c in pdf["content"]])[["day", "path", "bytes", "sha256"]]
+
+    return days.where("content IS NOT NULL").select("day", "content").mapInPandas(run, "day date, path string, bytes long, sha256 string")
+
+
 def acquisition_manifest(days: DataFrame) -> DataFrame:
     """One row: counts per status, whether the run failed, and an id made of the contents' hashes alone."""
     hashes = F.concat_ws(",", F.array_sort(F.collect_set("sha256")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 
@@ -31,12 +32,13 @@ def read_csv_union(spark: SparkSession, path: str, required: tuple[str, ...]) ->
 
     Headers are one line per file; files with equal headers are read by one scan.
     """
-    first = spark.read.option("pathGlobFilter", "*.csv").option("wholetext", False).text(path)
-    heads = first.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value").where("at = 0").groupBy("file").agg(F.first("value").alias("head"))
+    first = spark.read.option("pathGlobFilter", "*.csv").text(path)
+    first = first.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("row"), "value").where("at = 0")
+    heads = first.groupBy("file").agg(F.min_by("value", "row").alias("head"))
     layouts: dict[tuple[str, ...], list[str]] = {}
     errors = []
     for file, head in heads.toLocalIterator():  # one short line per file
-        names = tuple(n.strip().strip('"') for n in head.lstrip("﻿").split(","))
+        names = tuple(n.strip() for n in next(csv.reader([head.lstrip("﻿")])))
         if missing := sorted(set(required) - set(names)):
             errors.append((file, f"missing required columns: {missing}"))
         else:
@@ -68,7 +70,11 @@ def read_zipped_csv(spark: SparkSession, path: str) -> DataFrame:
 
     An archive without such a member, or with a bad checksum, gives one row with ``error``.
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return unzip_csv(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path))
+
+
+def unzip_csv(archives: DataFrame) -> DataFrame:
+    """The same for archives that are rows (path, content)."""
 
     def run(batches):
         for pdf in batches:
@@ -90,12 +96,12 @@ def read_zipped_csv(spark: SparkSession, path: str) -> DataFrame:
                 except Exception as e:  # a bad archive is a result, not a failure
                     yield pd.DataFrame({"path": [file], "row": [0], "fields": [{}], "error": [str(e)]})
 
-    return raw.mapInPandas(run, "path string, row long, fields map<string,string>, error string")
+    return archives.select("path", "content").mapInPandas(run, "path string, row long, fields map<string,string>, error string")
 
 
 def probe(spark: SparkSession, path: str) -> DataFrame:
     """Size, hash and first line of every file."""
-    head = F.substring_index(F.decode(F.substring("content", 1, 4096), "UTF-8"), "\n", 1)
+    head = F.substring_index(F.decode("content", "UTF-8"), "\n", 1)
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.rtrim(head, F.lit("\r")).alias("first_line"))
 
 

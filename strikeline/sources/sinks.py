@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strikeline.sources.shared import write_text
+
 
 def write_by_day(rows: DataFrame, path: str, day: str = "trade_date", fmt: str = "parquet") -> None:
-    """One folder per day; rows of a day meet first, so that a day is few files."""
-    rows.repartition(day).write.partitionBy(day).mode("overwrite").format(fmt).option("header", True).save(path)
+    """One folder per day; rows of a day meet first, so that a day is few files (and a large one is split)."""
+    rows.hint("rebalance", day).write.partitionBy(day).mode("overwrite").format(fmt).option("header", True).save(path)
 
 
 def write_records(rows: DataFrame, path: str) -> None:
@@ -29,7 +30,5 @@ def report_json(rows: DataFrame, limit: int = 10_000) -> list[dict]:
 
 def write_report(rows: DataFrame, path: str, sort_keys: bool = True) -> None:
     """An indented JSON file for people, stamped as diagnostic."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"diagnostic_only": True, "execution_backtest_allowed": False, "rows": report_json(rows)}, f, indent=2, sort_keys=sort_keys)
-        f.write("\n")
+    report = {"diagnostic_only": True, "execution_backtest_allowed": False, "rows": report_json(rows)}
+    write_text(rows.sparkSession, path, json.dumps(report, indent=2, sort_keys=sort_keys) + "\n")

@@ -14,15 +14,15 @@ from strikeline.operators import pit, quality
 from strikeline.sources import adapters, archive, files, sinks
 
 OPTIONS = """Symbol,Trade Date,Expiry,Option Type,Strike Price,Open,High,Low,Close,Settle Price,No. of contracts,Open Int,Underlying Value
-NIFTY,18-Sep-2026,24-Sep-2026,CE,"25,000",120.0,135.0,115.0,130.0,130.0,1000,25000,24980.0
-NIFTY,18-Sep-2026,24-Sep-2026,PE,25000.5,110.0,125.0,105.0,120.0,-,900,22000,24980.0
-OTHER,8-9-2026,2026-09-24,,0,1,1,1,1,1,1,1,N/A
+ORCHID,14-Mar-2023,30-Mar-2023,CE,"7,400",41.5,44.25,40.0,43.0,43.5,310,8150,7391.5
+ORCHID,14-Mar-2023,30-Mar-2023,PE,7400.5,37.0,39.5,36.25,38.0,-,275,6900,7391.5
+OTHER,6-3-2023,2023-03-30,,0,1,1,1,1,1,1,1,N/A
 """
-MINUTES = "﻿Date,TIME,open,high,low,close,volume\n2026-09-18,09:15:00,24980,24995,24970,24990,\n2026-09-18,09:16:00,24990,25005,24985,25000,null\n"
+MINUTES = "﻿Date,TIME,open,high,low,close,volume\n2023-03-14,09:15:00,7391.5,7396,7388,7394,\n2023-03-14,09:16:00,7394,7402,7389,7400,null\n"
 MASTER = """contract_id,lot_size,effective_from,effective_to,available_at
-NIFTY|2026-09-24|CE|25000,65,2026-09-01T00:00:00Z,2026-09-24T23:59:59Z,2026-09-18T16:00:00Z
-NIFTY|2026-09-24|PE|25000.5,65,2026-09-01T00:00:00Z,,2026-09-18T16:00:00Z
-NIFTY|2026-09-24|PE|25000.5,50,2026-09-10T00:00:00Z,,2026-09-18T16:00:00Z
+ORCHID|2023-03-30|CE|7400,65,2023-03-01T00:00:00Z,2023-03-30T23:59:59Z,2023-03-14T16:00:00Z
+ORCHID|2023-03-30|PE|7400.5,65,2023-03-01T00:00:00Z,,2023-03-14T16:00:00Z
+ORCHID|2023-03-30|PE|7400.5,50,2023-03-08T00:00:00Z,,2023-03-14T16:00:00Z
 """
 
 
@@ -32,24 +32,24 @@ def written(folder, name, text):
 
 
 def options(spark, tmp_path, **more):
-    return adapters.OptionEodAdapter("2026-09-18T15:00:00Z", **more).normalize(files.read_csv(spark, written(tmp_path, "o.csv", OPTIONS)))
+    return adapters.OptionEodAdapter("2023-03-14T15:00:00Z", **more).normalize(files.read_csv(spark, written(tmp_path, "o.csv", OPTIONS)))
 
 
 def test_option_adapter(spark, tmp_path):
-    rows = options(spark, tmp_path, symbol="nifty").orderBy("option_type").collect()
-    assert [r.instrument_id for r in rows] == ["NIFTY|2026-09-24|CE|25000", "NIFTY|2026-09-24|PE|25000.5"]
-    assert [r.option_type for r in rows] == ["CE", "PE"] and rows[0].strike == 25000.0 and rows[1].settlement is None
-    assert rows[0].timestamp == dt.datetime(2026, 9, 18) and rows[0].lot_size is None and rows[0].last_price_source is None
+    rows = options(spark, tmp_path, symbol="orchid").orderBy("option_type").collect()
+    assert [r.instrument_id for r in rows] == ["ORCHID|2023-03-30|CE|7400", "ORCHID|2023-03-30|PE|7400.5"]
+    assert [r.option_type for r in rows] == ["CE", "PE"] and rows[0].strike == 7400.0 and rows[1].settlement is None
+    assert rows[0].timestamp == dt.datetime(2023, 3, 14) and rows[0].lot_size is None and rows[0].last_price_source is None
     whole = options(spark, tmp_path)
     other = whole.where("underlying_id = 'OTHER'").first()
-    assert (other.timestamp, other.instrument_class, other.underlying_price) == (dt.datetime(2026, 9, 8), "future_or_other", None)
+    assert (other.timestamp, other.instrument_class, other.underlying_price) == (dt.datetime(2023, 3, 6), "future_or_other", None)
     assert adapters.OptionEodAdapter.enrichment(whole).first()[0] is True
     assert adapters.Adapter().validate(whole).count() == 0
 
 
 def test_archive_layouts_share_the_adapter(spark, tmp_path):
     head = "TIMESTAMP,INSTRUMENT,SYMBOL,EXPIRY_DT,STRIKE_PR,OPTION_TYP,OPEN,HIGH,LOW,CLOSE,SETTLE_PR,CONTRACTS,VAL_INLAKH,OPEN_INT,CHG_IN_OI,LAST\n"
-    old = files.read_csv(spark, written(tmp_path, "l.csv", head + "13-APR-2020,OPTIDX,NIFTY,30-Apr-2020,9000,CE,1,2,1,2,2,3,1.5,4,5,7\n"))
+    old = files.read_csv(spark, written(tmp_path, "l.csv", head + "13-APR-2020,OPTIDX,ORCHID,30-Apr-2020,9000,CE,1,2,1,2,2,3,1.5,4,5,7\n"))
     r = adapters.OptionEodAdapter("2020-04-13T18:00:00Z").normalize(old).first()
     assert (r.turnover, r.last_price, r.last_price_source, r.change_in_oi) == (150000.0, 7.0, "LAST", 5.0)
     with pytest.raises(ValueError, match="strike"):
@@ -60,17 +60,17 @@ def test_archive_layouts_share_the_adapter(spark, tmp_path):
 
 def test_ohlc_adapter(spark, tmp_path):
     raw = files.read_csv(spark, written(tmp_path, "m.csv", MINUTES))
-    rows = adapters.OhlcAdapter("IDX", "2026-09-18T16:00:00Z").normalize(raw).orderBy("timestamp").collect()
-    assert rows[0].timestamp == dt.datetime(2026, 9, 18, 9, 15) and rows[0].volume is None and rows[1].volume is None
-    local = adapters.OhlcAdapter("IDX", "2026-09-18T16:00:00Z", "Asia/Kolkata").normalize(raw).orderBy("timestamp").first()
-    assert local.timestamp == dt.datetime(2026, 9, 18, 3, 45)
+    rows = adapters.OhlcAdapter("IDX", "2023-03-14T16:00:00Z").normalize(raw).orderBy("timestamp").collect()
+    assert rows[0].timestamp == dt.datetime(2023, 3, 14, 9, 15) and rows[0].volume is None and rows[1].volume is None
+    local = adapters.OhlcAdapter("IDX", "2023-03-14T16:00:00Z", "Asia/Kolkata").normalize(raw).orderBy("timestamp").first()
+    assert local.timestamp == dt.datetime(2023, 3, 14, 3, 45)
 
 
 def test_numbers_and_times(spark):
-    x = spark.createDataFrame([(" 1,234.5 ", "2026-09-18T09:15:00+05:30"), ("N/A", "2026-09-18T09:15:00Z"), ("-", "18-09-2026"), (None, None)], "n string, t string")
+    x = spark.createDataFrame([(" 1,234.5 ", "2023-03-14T09:15:00+05:30"), ("N/A", "2023-03-14T09:15:00Z"), ("-", "18-09-2026"), (None, None)], "n string, t string")
     rows = x.select(parsing.parse_number(F.col("n")).alias("n"), parsing.parse_timestamp(F.col("t")).alias("t")).collect()
     assert [r.n for r in rows] == [1234.5, None, None, None]
-    assert [r.t for r in rows] == [dt.datetime(2026, 9, 18, 3, 45), dt.datetime(2026, 9, 18, 9, 15), dt.datetime(2026, 9, 18), None]
+    assert [r.t for r in rows] == [dt.datetime(2023, 3, 14, 3, 45), dt.datetime(2023, 3, 14, 9, 15), dt.datetime(2023, 3, 14), None]
     with pytest.raises(PySparkException):
         spark.createDataFrame([("x1",)], "n string").select(parsing.parse_number(F.col("n"))).collect()
     assert spark.createDataFrame([("x1",)], "n string").select(parsing.coerce_number(F.col("n"))).first()[0] is None
@@ -79,10 +79,10 @@ def test_numbers_and_times(spark):
 def test_enrichment(spark, tmp_path):
     rows = options(spark, tmp_path).withColumn("record_index", F.monotonically_increasing_id()).withColumnRenamed("instrument_id", "contract_id")
     master = files.read_csv(spark, written(tmp_path, "c.csv", MASTER)).select("contract_id", F.col("lot_size").cast("double").alias("master_lot"), *(F.col(c).cast("timestamp").alias(c) for c in ("effective_from", "effective_to", "available_at")))
-    late, early = (F.lit(t).cast("timestamp") for t in ("2026-09-18T17:00:00Z", "2026-09-18T15:00:00Z"))
+    late, early = (F.lit(t).cast("timestamp") for t in ("2023-03-14T17:00:00Z", "2023-03-14T15:00:00Z"))
     found = {r.contract_id: (r.match_status, r.master_lot) for r in pit.match_master(rows, master, late, at="timestamp").collect()}
-    assert found["NIFTY|2026-09-24|CE|25000"] == ("ENRICHED", 65.0)
-    assert found["NIFTY|2026-09-24|PE|25000.5"] == ("CONTRACT_MASTER_AMBIGUOUS", None)
+    assert found["ORCHID|2023-03-30|CE|7400"] == ("ENRICHED", 65.0)
+    assert found["ORCHID|2023-03-30|PE|7400.5"] == ("CONTRACT_MASTER_AMBIGUOUS", None)
     assert {s for s, _ in found.values()} == {"ENRICHED", "CONTRACT_MASTER_AMBIGUOUS", "CONTRACT_MASTER_NOT_FOUND"}
     assert {r.match_status for r in pit.match_master(rows, master, early, at="timestamp").collect()} == {"CONTRACT_MASTER_NOT_FOUND"}
 
@@ -148,10 +148,11 @@ def test_daily_archive(spark, tmp_path):
     primary.mkdir()
     mirror.mkdir()
     for folder, day in ((primary, dt.date(2024, 7, 5)), (mirror, dt.date(2024, 7, 8))):
+        (folder / archive.file_name(day)).parent.mkdir(parents=True, exist_ok=True)
         with zipfile.ZipFile(folder / archive.file_name(day), "w") as z:
             z.writestr("read.me", "x")
             z.writestr("a.csv", "TradDt,TckrSymb\n2024-07-08,N\n")
-    (primary / "bad.csv.zip").write_bytes(b"junk")
+    (primary / "content/historical/DERIVATIVES/2024/JUL/bad.csv.zip").write_bytes(b"junk")
     spark.dataSource.register(archive.ArchiveSource)
     days = spark.read.format("daily_archive").option("start", "2024-07-05").option("end", "2024-07-08").option("tiers", f"{primary},{mirror}").load()
     rows = {str(r.day): r for r in days.collect()}
@@ -159,7 +160,7 @@ def test_daily_archive(spark, tmp_path):
     assert (rows["2024-07-05"].route, rows["2024-07-08"].route, rows["2024-07-08"].source_tier) == ("legacy", "udiff", 1)
     m = archive.acquisition_manifest(days).first()
     assert (m.validated, m.no_archive, m.errors, m.failed) == (2, 2, 0, False)
-    cells = files.read_zipped_csv(spark, str(primary)).collect()
+    cells = files.read_zipped_csv(spark, f"{primary}/content/*/*/*/*").collect()
     assert {(c.error is None, c.fields.get("TckrSymb")) for c in cells} == {(True, "N"), (False, None)}
 
 
