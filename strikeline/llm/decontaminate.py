@@ -10,7 +10,10 @@ occurrences of one item join into the longest match.
 
 Memory per task: one piece of documents and one chunk of the benchmark.  A
 benchmark larger than a chunk is applied chunk after chunk, each broadcast on
-its own (``CHUNK_WORDS`` bounds it), with a checkpoint between two chunks.
+its own (``CHUNK_WORDS`` bounds it), with a checkpoint between two chunks; the
+search is the same, and hit words of several chunks are joined by position.
+Occurrences of a window that many items share are looked up item range by item
+range, ``PAIRS`` at a time, so a common prompt costs time and no memory.
 
 Defined results: null or empty text has no words and no hits; items without
 words match nothing; an item without an id is searched like any other and found
@@ -31,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strikeline.llm.common import pieces
+from strikeline.llm.common import free_names, pieces
 
 WINDOW = 10
 CHUNK_WORDS = 500_000
 SHARD_BYTES = 4 << 20
+PAIRS = 1 << 20
 
 #: A-Z to a-z; digits, a-z and bytes from 0x80 stay; all else separates words.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -84,7 +88,8 @@ class Suffixes:
         order = np.argsort(of_window, kind="stable")
         self.item = np.array(of_item, np.int64)[order]
         self.offset = np.array(offsets, np.int64)[order]
-        self.first = np.searchsorted(np.array(of_window, np.int64)[order], np.arange(len(keys) + 1))
+        #: window and item of every place in an item, in order
+        self.pairs = np.array(of_window, np.int64)[order] * max(1, len(self.names)) + self.item
         self.gram = int(min(3, self.lengths.min())) if lengths else 0
         if lengths:
             starts = np.frombuffer(b"".join(k[: 4 * self.gram] for k in keys), ">u4").reshape(-1, self.gram)
@@ -96,8 +101,13 @@ class Suffixes:
             total = total * (len(self.vocab) + 1) + c
         return total
 
-    def scan(self, texts: list[bytes | None]) -> list[tuple[int, int, list[str | None], int, int]]:
-        """For each text: words, hit words, ids of items found, longest match and its first word (-1: none)."""
+    def scan(self, texts: list[bytes | None], places: list[list[int]] | None = None) -> list[tuple[int, int, list[str | None], int, int]]:
+        """For each text: words, hit words, ids of items found, longest match (the first of equal ones) and its first word (-1: none).
+
+        ``places``, if given, gets a list for each text: the positions of its hit words.
+        """
+        if places is not None:
+            places[:] = [[] for _ in texts]
         get, counts, arrays, zero = self.vocab.get, [], [], np.zeros(1, np.int32)
         for t in texts:
             words = words_of(t)
@@ -128,41 +138,48 @@ class Suffixes:
         window = np.repeat(np.arange(len(found)), found)
         place = array[spread(low, found)]
         cover = np.bincount(place, minlength=n + 1) - np.bincount(place + self.lengths[window], minlength=n + 1)
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
+        covered = np.cumsum(cover) > 0
+        hit = np.concatenate([[0], np.cumsum(covered)])
         hits = hit[begins[1:]] - hit[begins[:-1]]
-        # each occurrence, once for every place in an item that has the window
-        many = self.first[window + 1] - self.first[window]
-        pair = spread(self.first[window], many)
-        place = np.repeat(place, many)
-        item, diagonal, size = self.item[pair], place - self.offset[pair], np.repeat(self.lengths[window], many)
+        if places is not None:
+            for d in np.flatnonzero(hits).tolist():
+                places[d] = np.flatnonzero(covered[begins[d] : begins[d + 1]]).tolist()
+        best, seen = np.zeros(len(texts), np.int64), []
+        for found_best, found_items in self._matches(window, place, begins):
+            best = np.maximum(best, found_best)
+            seen.append(found_items)
+        items: dict[int, list[str | None]] = {}
+        for pairs in seen:
+            for d, i in zip((pairs // len(self.names)).tolist(), (pairs % len(self.names)).tolist(), strict=True):
+                items.setdefault(d, []).extend(self.names[i])
+        for d, found_items in items.items():
+            m, p = int(best[d]) >> 40, (1 << 40) - 1 - (int(best[d]) & ((1 << 40) - 1))
+            out[d] = (counts[d], int(hits[d]), in_order(found_items), m, p - int(begins[d]))
+        return out
+
+    def _matches(self, window: np.ndarray, place: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per range of items: each text's longest match with its place, as one number, and the (text, item) pairs found."""
+        n = len(self.names)
+        whole = (np.searchsorted(self.pairs, (window + 1) * n) - np.searchsorted(self.pairs, window * n)).sum()
+        bounds = np.unique(np.linspace(0, n, min(n, int(whole) // PAIRS + 1) + 1).astype(np.int64))
+        for least, most in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            low = np.searchsorted(self.pairs, window * n + least)
+            many = np.searchsorted(self.pairs, window * n + most) - low
+            if many.any():
+                yield self._runs(spread(low, many), np.repeat(place, many), np.repeat(self.lengths[window], many), begins)
+
+    def _runs(self, pair: np.ndarray, place: np.ndarray, size: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of consecutive occurrences of one item: matches longer than a window."""
+        item, diagonal = self.item[pair], place - self.offset[pair]
         order = np.lexsort((place, diagonal, item))
         item, diagonal, place, size = item[order], diagonal[order], place[order], size[order]
         fresh = np.concatenate([[True], (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1)])
         run = np.flatnonzero(fresh)
         length = np.diff(np.concatenate([run, [len(item)]])) - 1 + size[run]
         doc = np.searchsorted(begins, place[run], "right") - 1
-        best: dict[int, tuple[int, int]] = {}
-        for d, m, p in zip(doc.tolist(), length.tolist(), (-place[run]).tolist(), strict=True):
-            best[d] = max(best.get(d, (0, 0)), (m, p))
-        seen = np.unique(doc * len(self.names) + item[run])
-        items: dict[int, list[str | None]] = {}
-        for d, i in zip((seen // len(self.names)).tolist(), (seen % len(self.names)).tolist(), strict=True):
-            items.setdefault(d, []).extend(self.names[i])
-        for d, (m, p) in best.items():
-            out[d] = (counts[d], int(hits[d]), in_order(items[d]), m, -p - int(begins[d]))
-        return out
-
-    def covered(self, text: bytes | None) -> list[int]:
-        """The hit words of one text, as positions (needed to join several chunks)."""
-        words = words_of(text)
-        ids = [self.vocab.get(w, 0) for w in words]
-        index, mask = set(self.low.tolist()), np.zeros(len(ids) + 1, np.int64)
-        for size in np.unique(self.lengths).tolist():
-            for i in range(len(ids) - size + 1):
-                if all(ids[i : i + size]) and np.array(ids[i : i + size], ">u4").tobytes().rstrip(b"\0") in index:
-                    mask[i] += 1
-                    mask[i + size] -= 1
-        return np.flatnonzero(np.cumsum(mask) > 0).tolist()
+        best = np.zeros(len(begins) - 1, np.int64)
+        np.maximum.at(best, doc, (length << 40) | ((1 << 40) - 1 - place[run]))
+        return best, np.unique(doc * len(self.names) + item[run])
 
 
 def _chunks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, list[bytes]]]]:
@@ -195,15 +212,16 @@ _ARROW = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64())
 
 
 def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, item_col: str = "item_id", item_text_col: str = "text", only_clean: bool = False) -> DataFrame:
-    """Add what was found to every row, as the struct ``__found`` (and ``__at``, the hit positions, if there are several chunks).
+    """Add what was found to every row, as a struct, and the hit positions (if there are several chunks); the last two columns.
 
     With ``only_clean``, return the rows without any hit as they came.
     """
     spark, names = docs.sparkSession, docs.columns
+    own_found, own_at = free_names(names, "found", "at")
     chunks = _chunks(benchmark, item_col, item_text_col)
     chunk, following = next(chunks), next(chunks, None)
     several, started, current = following is not None, False, docs
-    schema = docs.schema if only_clean else T.StructType([*docs.schema.fields, T.StructField("__found", FOUND), T.StructField("__at", T.ArrayType(T.LongType()))])
+    schema = docs.schema if only_clean else T.StructType([*docs.schema.fields, T.StructField(own_found, FOUND), T.StructField(own_at, T.ArrayType(T.LongType()))])
     while chunk is not None:
         sent = spark.sparkContext.broadcast((chunk, window))
 
@@ -212,19 +230,20 @@ def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window
             for batch in pieces(batches, text_col, SHARD_BYTES):
                 column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
                 texts = column(text_col).cast(pa.binary()).to_pylist()
-                found = suffixes.scan(texts)
+                at: list[list[int]] = []
+                found = suffixes.scan(texts, at if several else None)
                 if only_clean:
                     yield batch.filter(pa.array([f[1] == 0 for f in found], pa.bool_()))
                     continue
-                at = [suffixes.covered(t) if several and f[1] else [] for t, f in zip(texts, found, strict=True)]
+                at = at or [[] for _ in texts]
                 if started:
-                    at = [sorted({*a, *b}) for a, b in zip(column("__at").to_pylist(), at, strict=True)]
-                    for i, o in enumerate(column("__found").to_pylist()):
+                    at = [sorted({*a, *b}) for a, b in zip(column(own_at).to_pylist(), at, strict=True)]
+                    for i, o in enumerate(column(own_found).to_pylist()):
                         n, _, items, m, p = found[i]
                         m, p = max((o["longest_match"], -o["longest_start"]), (m, -p))
                         found[i] = (n, len(at[i]), in_order([*o["item_ids"], *items]), m, -p)
                 fields = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 5, _ARROW, strict=True)]
-                yield pa.RecordBatch.from_arrays([*map(column, names), pa.StructArray.from_arrays(fields, FOUND.names), pa.array(at, pa.list_(pa.int64()))], [*names, "__found", "__at"])
+                yield pa.RecordBatch.from_arrays([*map(column, names), pa.StructArray.from_arrays(fields, FOUND.names), pa.array(at, pa.list_(pa.int64()))], [*names, own_found, own_at])
 
         current = current.mapInArrow(run, schema)
         started, chunk, following = True, following, next(chunks, None)
@@ -246,7 +265,8 @@ def _cached(key: str, sent) -> Suffixes:
 
 def annotate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: words, hit words, items found, longest verbatim match and where it starts."""
-    return search(docs.select(id_col, text_col), benchmark, text_col, window).select(id_col, "__found.*")
+    found = search(docs.select(id_col, text_col), benchmark, text_col, window)
+    return found.select(id_col, f"{found.columns[-2]}.*")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:

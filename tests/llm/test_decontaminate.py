@@ -46,6 +46,22 @@ def test_every_window(spark, monkeypatch, chunk):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, _, hit, _ in brute() if not hit)
 
 
+def test_a_prompt_of_many_items(monkeypatch):
+    """Ranges of items give what one range gives, and hot windows take bounded memory."""
+    import tracemalloc
+
+    prompt = [b"p%d" % i for i in range(30)]
+    suffixes = d.Suffixes([(str(i), [*prompt, b"own%d" % i]) for i in range(1_000)], 10)
+    text = b" ".join(prompt * 400 + [b"own7"])
+    want = suffixes.scan([text, b"", text])
+    assert want[0][:2] == (12_001, 12_001) and len(want[0][2]) == 1_000 and want[0][3:] == (31, 399 * 30) and want[1] == (0, 0, [], 0, -1)
+    monkeypatch.setattr(d, "PAIRS", 1 << 17)
+    tracemalloc.start()
+    assert suffixes.scan([text, b"", text]) == want
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("chunk", [d.CHUNK_WORDS, 1])
 def test_items_without_an_id(spark, monkeypatch, chunk):
     monkeypatch.setattr(d, "CHUNK_WORDS", chunk)
