@@ -3,15 +3,21 @@
 Base spans come from three patterns over the whole text.  The method adds spans
 of kind ``guess``: whatever value follows a credential word and a separator is
 split into dictionary words, dates, repeats, keyboard walks and sequences, and
-brute-force characters, at the least total cost (log10 of the guesses an
-attacker needs; dynamic programming over positions).  Values at or above
+brute-force characters, at the least total cost over all segmentations (log10 of
+the guesses an attacker needs; dynamic programming over positions).  A walk or
+repeat is at most ``SPAN`` characters; a longer one is several.  Values at or above
 ``GUESSES`` are reported unless a base ``assign`` span holds them already;
 placeholders such as ``password = password123`` fall below it.
 
-The step is a plain scan of each row: no shuffle, memory bound by one batch.
+The dictionary is a short list of frequent passwords, followed by the corpus's own
+``LEARNED`` most frequent words (counted over every text; ties by the alphabet), so
+a phrase of the corpus's language is no secret.  Its size is all that is collected.
+
+Scanning is a projection of each row: no shuffle, memory bound by one batch.
 Defined results: null and empty texts have no spans; repeated rows are each
 scanned; values of any length are scored whole (the cost of a step is bounded,
-so time is linear in the value); other columns are ignored.
+so time is linear in the value); an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +25,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from functools import lru_cache
+import uuid
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,67 +61,101 @@ summer winter spring autumn january february march april june july august septem
 love money test guest root user default changeme example sample dummy placeholder token none null your here this that with
 pass word key access server database company internet computer network google apple cheese coffee chocolate flower orange
 banana purple silver golden tiger lion eagle falcon wizard magic star angel happy lucky family mother father sister brother""".split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Learned words: how many, and their least and most letters.
+LEARNED, SHORTEST, LONGEST = 10_000, 4, 16
+COUNTED = re.compile(rb"(?<![A-Za-z0-9\x80-\xff])[A-Za-z]{%d,%d}(?![A-Za-z0-9\x80-\xff])" % (SHORTEST, LONGEST))
+HELD_WORDS = 200_000
+CACHED_BYTES = 8 << 20
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "qazwsxedcrfvtgbyhnujmikolp", "abcdefghijklmnopqrstuvwxyz")
 NEXT = {(a, b) for row in ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:], strict=False)}
-DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+DATES = (
+    (re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"), math.log10(365 * 100)),
+    (re.compile(r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d"), math.log10(365 * 100)),
+    (re.compile(r"(?:19|20)\d\d"), math.log10(119)),
+)
 #: Each further segment doubles the guesses: the attacker has to find where it begins.
 SEGMENT = math.log10(2)
 REPEAT_PERIOD = 8
+SPAN = 64
 
 
 def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() and c.isascii() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
 
-@lru_cache(maxsize=4096)
+class Guesser:
+    """Guess costs under a ranked dictionary: the fixed words, then learned ones."""
+
+    def __init__(self, learned: list[str] = ()):
+        self.rank: dict[str, int] = {}
+        for w in (*WORDS, *learned):
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+        self.known: dict[str, float] = {}
+        self.held = 0
+
+    def word(self, value: str) -> float | None:
+        """The cost of a dictionary word, in any case, with the usual digits for letters, or backwards."""
+        low = value.lower()
+        rank = min((k for k in (self.rank.get(low), 2 * self.rank.get(low.translate(LEET), 0), 2 * self.rank.get(low[::-1], 0)) if k), default=0)
+        if not rank:
+            return None
+        upper = 0 if value == low else 1 if value[1:] == low[1:] or value.isupper() else 3
+        return math.log10(rank + 1) + upper * SEGMENT
+
+    def cost(self, value: str) -> float:
+        """log10 of the guesses for the cheapest segmentation of ``value``."""
+        if value not in self.known:
+            self.held += 2 * len(value) + 100
+            if self.held > CACHED_BYTES:
+                self.known.clear()
+                self.held = 2 * len(value) + 100
+            self.known[value] = self._cost(value)
+        return self.known[value]
+
+    def _cost(self, value: str) -> float:
+        n, low = len(value), value.lower()
+        brute = [_brute(c) for c in value]
+        sums = [0.0]
+        for x in brute:
+            sums.append(sums[-1] + x)
+        best = [0.0] + [math.inf] * n
+        spelled = [math.inf] * (n + 1)  # the same with a last segment of brute force, which may go on
+        walk = 1  # length of the keyboard walk that ends before i
+        run = [0] * (REPEAT_PERIOD + 1)  # run[p]: characters before i that equal those p earlier
+        dates: dict[int, list[tuple[int, float]]] = {}
+        for i in range(1, n + 1):
+            if value[i - 1].isdigit():
+                for pattern, own in DATES:
+                    if m := pattern.match(value, i - 1):
+                        dates.setdefault(m.end(), []).append((i - 1, own))
+            walk = walk + 1 if i > 1 and (low[i - 2], low[i - 1]) in NEXT else 1
+            for p in range(1, min(REPEAT_PERIOD, i - 1) + 1):
+                run[p] = run[p] + 1 if value[i - 1] == value[i - 1 - p] else 0
+            spelled[i] = brute[i - 1] + min(spelled[i - 1], best[i - 1] + (SEGMENT if i > 1 else 0))
+            options = dates.pop(i, [])
+            for size in range(3, min(self.longest, i) + 1):
+                if (own := self.word(value[i - size : i])) is not None:
+                    options.append((i - size, own))
+            options += [(i - size, math.log10(50 * size)) for size in range(3, min(walk, SPAN) + 1)]
+            for p in range(1, REPEAT_PERIOD + 1):
+                for more in range(max(2, p), min(run[p], SPAN - p) + 1):
+                    j = i - p - more
+                    options.append((j, sums[j + p] - sums[j] + math.log10(1 + more / p)))
+            best[i] = min([spelled[i], *(best[j] + own + (SEGMENT if j else 0) for j, own in options)])
+        return best[n]
+
+
+_PLAIN = Guesser()
+
+
 def guess_cost(value: str) -> float:
-    """log10 of the guesses for the cheapest segmentation of ``value``."""
-    n = len(value)
-    low = value.lower()
-    plain = low.translate(LEET)
-    brute = [_brute(c) for c in value]
-    best = [0.0] + [math.inf] * n
-    spelled = [False] * (n + 1)  # the last segment is brute force: going on with it is no new segment
-    walk = [1] * (n + 1)  # length of the keyboard walk that ends before i
-    for i in range(2, n + 1):
-        walk[i] = walk[i - 1] + 1 if (low[i - 2], low[i - 1]) in NEXT else 1
-    run = [[0] * (n + 1) for _ in range(REPEAT_PERIOD + 1)]  # run[p][i]: characters before i that equal those p earlier
-    for p in range(1, REPEAT_PERIOD + 1):
-        for i in range(p + 1, n + 1):
-            run[p][i] = run[p][i - 1] + 1 if value[i - 1] == value[i - 1 - p] else 0
-    dates: dict[int, list[int]] = {}
-    for start in range(n):
-        if value[start].isdigit() and (m := DATE.match(value, start)):
-            dates.setdefault(m.end(), []).append(start)
-            if m.end() - start > 4 and DATE.fullmatch(value, start, start + 4):
-                dates.setdefault(start + 4, []).append(start)
-    for i in range(1, n + 1):
-        cost, brutal = best[i - 1] + brute[i - 1] + (0 if spelled[i - 1] or i == 1 else SEGMENT), True
-        options = []
-        for size in range(3, min(LONGEST, i) + 1):
-            j = i - size
-            rank = RANK.get(low[j:i]) or 2 * RANK.get(plain[j:i], 0) or 2 * RANK.get(low[j:i][::-1], 0)
-            if rank:
-                upper = 0 if value[j:i] == low[j:i] else 1 if value[j + 1 : i] == low[j + 1 : i] or value[j:i].isupper() else 3
-                options.append((j, math.log10(rank + 1) + upper * SEGMENT))
-        options += [(j, math.log10(365 * 100 if i - j > 4 else 119)) for j in dates.get(i, ())]
-        if walk[i] >= 3:
-            options.append((i - walk[i], math.log10(50 * walk[i])))
-        for p in range(1, REPEAT_PERIOD + 1):
-            if run[p][i] >= max(2, p):
-                j = i - run[p][i] - p
-                options.append((j, sum(brute[j : j + p]) + math.log10(1 + run[p][i] / p)))
-        for j, own in options:
-            if best[j] + own + (SEGMENT if j else 0) < cost:
-                cost, brutal = best[j] + own + (SEGMENT if j else 0), False
-        best[i], spelled[i] = cost, brutal
-    return best[n]
-
-
-def scan(text: str | None, raw: bytes | None = None) -> list[tuple[int, int, str]]:
+    """The cost under the fixed words alone."""
+    return _PLAIN.cost(value)
+
+
+def scan(text: str | None, raw: bytes | None = None, guesser: Guesser = _PLAIN) -> list[tuple[int, int, str]]:
     """All spans of a text: (start, end, kind), in code points, by start and then kind."""
     if not text:
         return []
@@ -125,10 +168,11 @@ def scan(text: str | None, raw: bytes | None = None) -> list[tuple[int, int, str
     if HEX_BYTES.search(raw):
         found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
-        assigned = [(s, e) for s, e, k in found if k == "assign"]
+        assigned = [(s, e) for s, e, k in found if k == "assign"]  # in order, and apart from each other
         for m in CONTEXT.finditer(text):
             start, end = m.span(m.lastindex)
-            if not any(s < end and start < e for s, e in assigned) and guess_cost(text[start:end]) >= GUESSES:
+            before = bisect_left(assigned, (end,)) - 1  # the last that begins before the value ends
+            if (before < 0 or assigned[before][1] <= start) and guesser.cost(text[start:end]) >= GUESSES:
                 found.append((start, end, "guess"))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
@@ -137,16 +181,49 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id and ``spans``, an array of (start, end, kind)."""
+def learn(docs: DataFrame, text_col: str = "text", most: int = LEARNED) -> list[str]:
+    """The ``most`` most frequent words of all texts, in lower case; counted with partial sums in every task."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in held], pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+
+        for batch in pieces(batches, "text", BATCH_BYTES):
+            for raw in batch.column(0).to_pylist():
+                held.update(COUNTED.findall(raw.lower()) if raw else ())
+                if len(held) > HELD_WORDS:
+                    yield told()
+                    held.clear()
+        if held:
+            yield told()
+
+    counts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "word string, n long")
+    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    return [r.word for r in top.collect()]
+
+
+_GUESSERS: dict[str, Guesser] = {}
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learned: list[str] | None = None) -> DataFrame:
+    """One row per document: id and ``spans``, an array of (start, end, kind).
+
+    ``learned`` are words by rank; if not given, they are learned from ``docs``.
+    """
     span = "array<struct<start: long, end: long, kind: string>>"
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col) if learned is None else list(learned))
 
-    def run(batches):
+    def run(batches, key=uuid.uuid4().hex):
+        if key not in _GUESSERS:  # one per Python worker
+            _GUESSERS.clear()
+            _GUESSERS[key] = Guesser(sent.value)
         for batch in pieces(batches, "text", BATCH_BYTES):
             out = []
             for raw in batch.column(1).to_pylist():
-                spans = scan(raw.decode("utf-8", "replace"), raw) if raw else []
+                spans = scan(raw.decode("utf-8", "replace"), raw, _GUESSERS[key]) if raw else []
                 out.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, arrow)], ["id", "spans"])
 

@@ -1,6 +1,9 @@
 """Secret scan against the plain patterns, and guess costs against an exhaustive split."""
 
 import hashlib
+import itertools
+import math
+import random
 import re
 
 import pytest
@@ -51,6 +54,48 @@ def test_cost_orders_values(weak, strong):
     assert secrets.guess_cost(weak) < secrets.GUESSES <= secrets.guess_cost(strong)
 
 
+def span_cost(g, x):
+    """The least cost of one segment, each kind by its own definition."""
+    low, found = x.lower(), [sum(map(secrets._brute, x))]
+    if len(x) >= 3 and (word := g.word(x)) is not None:
+        found.append(word)
+    found += [own for pattern, own in secrets.DATES if pattern.fullmatch(x)]
+    if 3 <= len(x) <= secrets.SPAN and all(p in secrets.NEXT for p in zip(low, low[1:], strict=False)):
+        found.append(math.log10(50 * len(x)))
+    for p in range(1, secrets.REPEAT_PERIOD + 1):
+        more = len(x) - p
+        if max(2, p) <= more and len(x) <= secrets.SPAN and all(x[i] == x[i - p] for i in range(p, len(x))):
+            found.append(sum(map(secrets._brute, x[:p])) + math.log10(1 + more / p))
+    return min(found)
+
+
+def test_cost_is_the_least_over_all_splits():
+    rng, g = random.Random(4), secrets.Guesser(["zebra", "lemon"])
+    parts = ["a", "1", "abc", "qwe", "pass", "lemon", "9", "aa", "2019", "0102", "Z", "ab", "#", "dr@g", "on"]
+    values = ["qwertyqwe", "aaabaaab", "20190102", "01022019", "passw0rdlemon", "Lemon", "nomel12", "ababababa", "1999-12-31"]
+    values += ["".join(rng.choices(parts, k=rng.randint(1, 4)))[:11] for _ in range(60)]
+    for v in values:
+        splits = (cut for k in range(len(v)) for cut in itertools.combinations(range(1, len(v)), k))
+        want = min(sum(span_cost(g, v[i:j]) for i, j in zip((0, *cut), (*cut, len(v)), strict=True)) + secrets.SEGMENT * len(cut) for cut in splits)
+        assert abs(g.cost(v) - want) < 1e-9, v
+
+
+def test_corpus_words_are_learned(spark):
+    rows = [(1, "the grovenal quillibar " * 5), (2, "Grovenal! x1grovenal grovenalé abc"), (3, None), (4, "password: grovenal-quillibar")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, spans string")
+    assert secrets.learn(docs, most=2) == ["grovenal", "quillibar"]
+    told = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find(docs).collect()}
+    assert told[4] == ["assign"]
+    plain = spark.createDataFrame([(5, "password is grovenal#quillibar")], "doc_id long, text string")
+    assert [[s.kind for s in r.spans] for r in secrets.find(plain, learned=[]).collect()] == [["guess"]]
+    assert [r.spans for r in secrets.find(plain, learned=["grovenal", "quillibar"]).collect()] == [[]]
+
+
+def test_many_assignments_take_linear_time():
+    text = "\n".join(f"password = k{i}abcdefgh" for i in range(20_000))
+    assert len(secrets.scan(text)) == 20_000
+
+
 def test_cost_is_monotone_and_linear_in_time():
     assert secrets.guess_cost("") == 0
     assert secrets.guess_cost("kQ7#" * 3000) > 0
