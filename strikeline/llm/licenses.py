@@ -32,25 +32,49 @@ SHINGLE = 5
 PERCENT = 75
 BANDS = 24
 
+# Whole licenses and file headers.
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
+permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions
+of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the
+License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on
+an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
+under the License."""
 # Notices that name a license or grant one.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
+    "Apache-2.0-text": APACHE_TEXT,
     "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "BSD-2-Clause-text": BSD_TEXT,
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-header": "it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "ISC-text": ISC_TEXT,
     "MIT": "Released under the MIT License",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "MIT-text": MIT_TEXT,
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Proprietary": "This document is proprietary and confidential. All rights reserved",
 }
 # Notices of fewer than SHINGLE words.
 SHORT = {"All-rights-reserved": "All rights reserved"}
 # Words by which a matching passage is found at all.
-ANCHORS = ("licensed", "license", "copy", "forms", "modification", "permitted", "permission", "granted", "copies", "software", "published", "confidential", "obtaining", "compliance")
+ANCHORS = ("licensed", "license", "copy", "forms", "modification", "permitted", "permission", "granted", "copies", "software", "published", "confidential", "obtaining", "compliance", "warranty", "warranties", "damages", "copyright", "conditions", "liable", "notice", "arising")
 
 WORD = r"[^\p{L}\p{Nd}]+"
 
@@ -92,7 +116,12 @@ def _match(name: str, own: list[int], least: list[int]) -> Column:
     """
     m, s, n = len(own), step(len(own)), F.size("__h")
     last = F.greatest(n - m, F.lit(0))
-    starts = F.filter(F.sequence(F.lit(0), last, F.lit(s)), lambda i: F.exists("__a", lambda a: (a >= i - s) & (a < i + m + s + SHINGLE - 1)))
+    # window i is asked for by the anchors from one step before it to one step behind it: a few windows per anchor
+    first = lambda a: F.greatest(F.floor((a - (m + s + SHINGLE - 1)) / s).cast("int") + 1, F.lit(0))
+    final = lambda a: F.floor(F.least(a + s, last) / s).cast("int")
+    none = F.array().cast("array<int>")
+    near = F.transform("__a", lambda a: F.when(first(a) <= final(a), F.sequence(first(a) * s, final(a) * s, F.lit(s))).otherwise(none))
+    starts = F.array_distinct(F.flatten(near))
     shared = lambda i: F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: _least(F.slice("__h", i + 1, m), k) == F.element_at(_array(least), k + 1))
     around = lambda i: F.slice("__h", F.greatest(i - s, F.lit(0)) + 1, m + 2 * s)
     share = lambda i: F.size(F.array_intersect(_array(own), around(i))) / F.lit(float(m))
