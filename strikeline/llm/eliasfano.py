@@ -124,17 +124,29 @@ class Trie:
         self.codes = mapped[12]
 
     def query(self, context: np.ndarray, successor: np.ndarray, slice_size: int = 1 << 16) -> np.ndarray:
-        """The code of every pair (sorted by context), 0 where the trie has none."""
+        """The code of every pair (sorted by context), 0 where the trie has none.
+
+        Every level is decoded ``slice_size`` values at a time, and only where queries fall.
+        """
         out = np.zeros(len(context), np.uint16)
-        known = self.contexts.slice(0, self.contexts.n)
-        if not len(known) or not len(context):
-            return out
-        node = np.minimum(np.searchsorted(known, context), len(known) - 1)
-        hit = np.flatnonzero(known[node] == context)
-        node, word = node[hit], successor[hit]
-        pointers, base = self.pointers.slice(0, self.pointers.n), self.base.slice(0, self.base.n)
+        at, first = 0, 0
+        while first < self.contexts.n and at < len(context):
+            after = min(self.contexts.n, first + slice_size)
+            known = self.contexts.slice(first, after)
+            stop = int(np.searchsorted(context, known[-1], "right"))
+            if stop > at:
+                node = np.searchsorted(known, context[at:stop])
+                hit = np.flatnonzero(known[node] == context[at:stop])
+                pointers, base = self.pointers.slice(first, after + 1), self.base.slice(first, after + 1)
+                out[at + hit] = self._successors(pointers, base, node[hit], successor[at:stop][hit], slice_size)
+            at, first = stop, after
+        return out
+
+    def _successors(self, pointers: np.ndarray, base: np.ndarray, node: np.ndarray, word: np.ndarray, slice_size: int) -> np.ndarray:
+        """The codes of words below nodes (in order) whose pointers and bases are decoded."""
+        out = np.zeros(len(node), np.uint16)
         at = 0
-        while at < len(hit):
+        while at < len(node):
             start = int(pointers[node[at]])
             end = max(int(np.searchsorted(pointers, start + slice_size, "right")) - 1, int(node[at]) + 1)  # contexts below it
             stop = int(np.searchsorted(node, end))
@@ -143,6 +155,6 @@ class Trie:
             found = _successor(level, pointers[n] - start, pointers[n + 1] - start, w)
             good = found < pointers[n + 1] - start
             good[good] = level[found[good]] == w[good]
-            out[hit[at:stop][good]] = self.codes[start + found[good]]
+            out[at:stop][good] = self.codes[start + found[good]]
             at = stop
         return out

@@ -20,7 +20,9 @@ Nothing that grows with the corpus is broadcast or collected:
 5. each block turns answers into scores.  Only N, V and two counts of counts
    (four numbers) pass through the driver.
 
-A hot word is one entry per block, whatever its frequency.
+A hot word is one entry per block, whatever its frequency.  Blocks and shards have
+bounded sizes, and every shuffle has as many partitions as there are shards, so a
+task's share does not grow with the input.
 
 Defined results: null text is the empty text and has only its end token; rows
 without an id count as training rows; repeated rows are scored each on their
@@ -145,7 +147,7 @@ def number_words(sent: DataFrame, shards: int) -> DataFrame:
         rows.append(("sums", -1, None, None, None, int(count.sum()), int(known.sum()), int((count == 1).sum()), int((count == 2).sum())))
         return pd.DataFrame(rows, columns=["kind", "block", "b", "a", "c", "n", "v", "n1", "n2"])
 
-    told = sent.select("block", "shard", "a", "b", "c").groupBy("shard").applyInPandas(run, "kind string, block long, b binary, a binary, c binary, n long, v long, n1 long, n2 long")
+    told = sent.select("block", "shard", "a", "b", "c").repartition(shards, "shard").groupBy("shard").applyInPandas(run, "kind string, block long, b binary, a binary, c binary, n long, v long, n1 long, n2 long")
     return materialise(told, "lm-numbers", ["kind"])
 
 
@@ -191,7 +193,7 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]]) if len(values) else np.zeros(1, np.int64)
 
 
-def _grouped(rows: list[DataFrame], function, schema: str) -> DataFrame:
+def _grouped(rows: list[DataFrame], shards: int, function, schema: str) -> DataFrame:
     """All rows of a block, from several tables, to ``function``."""
     columns = ["kind", "block", "ids", "held", "lengths", "a", "b", "c", "shard"]
     kinds = {"ids": "array<string>", "held": "array<boolean>", "shard": "int", "kind": "string", "block": "long"}
@@ -199,7 +201,7 @@ def _grouped(rows: list[DataFrame], function, schema: str) -> DataFrame:
     union = same[0]
     for t in same[1:]:
         union = union.unionByName(t)
-    return union.groupBy("block").applyInPandas(function, schema)
+    return union.repartition(shards, "block").groupBy("block").applyInPandas(function, schema)
 
 
 def send_bigrams(tokens: DataFrame, numbers: DataFrame, shards: int, share: float) -> DataFrame:
@@ -214,10 +216,10 @@ def send_bigrams(tokens: DataFrame, numbers: DataFrame, shards: int, share: floa
             rows.append((int(pdf["block"].iloc[0]), int(shard[i]), pack(np.diff(context[begin], prepend=0)), pack(np.diff(runs)), pack(total[begin]), pack(word[i:j]), pack(count[i:j])))
         return pd.DataFrame(rows, columns=["block", "shard", "contexts", "runs", "totals", "words", "counts"])
 
-    return _grouped([tokens, numbers], run, "block long, shard int, contexts binary, runs binary, totals binary, words binary, counts binary")
+    return _grouped([tokens, numbers], shards, run, "block long, shard int, contexts binary, runs binary, totals binary, words binary, counts binary")
 
 
-def build_and_query(sent: DataFrame, share: float) -> DataFrame:
+def build_and_query(sent: DataFrame, shards: int, share: float) -> DataFrame:
     """Per trie shard: add up, build the trie, answer each block with codes and successor counts.
 
     Of contexts that are spread over shards, the successor counts go into rows of their own.
@@ -254,7 +256,7 @@ def build_and_query(sent: DataFrame, share: float) -> DataFrame:
         rows.append(("spread", -1, -1, pack(known[hot]), pack(np.bincount(node[seen], minlength=len(known))[hot])))
         return pd.DataFrame(rows, columns=["kind", "block", "shard", "a", "b"])
 
-    told = sent.groupBy("shard").applyInPandas(run, "kind string, block long, shard int, a binary, b binary")
+    told = sent.repartition(shards, "shard").groupBy("shard").applyInPandas(run, "kind string, block long, shard int, a binary, b binary")
     return materialise(told, "lm-codes", ["kind"])
 
 
@@ -313,7 +315,7 @@ def score(tokens: DataFrame, numbers: DataFrame, codes: DataFrame, shards: int,
             }
         )
 
-    return _grouped([tokens, numbers, codes], rows, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _grouped([tokens, numbers, codes], shards, rows, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
@@ -326,7 +328,7 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     numbers = told.where("kind = 'numbers'").select("kind", "block", "a", "b", "c")
     n, v, n1, n2 = map(int, sums)
     share = max(1.0, n / min(4 * shards, SPREAD))
-    codes = build_and_query(send_bigrams(tokens, numbers, shards, share), share)
+    codes = build_and_query(send_bigrams(tokens, numbers, shards, share), shards, share)
     found = score(tokens, numbers, codes.where("kind = 'codes'"), shards, share, spread_counts(codes), n, v, n1, n2)
     return found.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
