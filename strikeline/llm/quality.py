@@ -15,8 +15,9 @@ is one scan: no shuffle.  Labels, lang, source and id are no inputs of a score.
 
 Defined results: null and empty texts have the make-up of an empty text and are
 scored like any other; of several labels of a document the smallest counts; null
-labels are ignored; without labelled rows every score is 0.5; repeated rows are
-scored each; an empty table gives no rows; extra columns are carried through by
+labels are ignored, and of several rows with a labelled id the least text counts; neighbours
+as near as the last of ``NEIGHBOURS`` all vote; without labelled rows every score
+is 0.5; repeated rows are scored each; an empty table gives no rows; extra columns are carried through by
 :func:`keep_good` and ignored by :func:`annotate`.
 """
 
@@ -104,9 +105,11 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(rows), BLOCK):
             near = self.latent(rows[i : i + BLOCK]) @ self.vectors.T
-            at = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            votes = np.maximum(np.take_along_axis(near, at, axis=1), 1e-3).astype(np.float64) ** SHARPNESS
-            out[i : i + BLOCK] = (votes * self.labels[at]).sum(axis=1) / votes.sum(axis=1)
+            last = np.partition(near, -k, axis=1)[:, -k]
+            row, at = np.nonzero(near >= last[:, None])  # all that are as near as the last one vote
+            votes = np.maximum(near[row, at], 1e-3).astype(np.float64) ** SHARPNESS
+            total = np.bincount(row, votes, len(near))
+            out[i : i + BLOCK] = np.bincount(row, votes * self.labels[at], len(near)) / total
         return np.clip(out, 0.0, 1.0)
 
 
@@ -135,14 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).alias("of")).agg(F.min(label_col).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("of"), "of").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    picked = texts.join(F.broadcast(chosen), F.col("id") == F.col("of")).select("id", "label", "text")
+    picked = texts.join(F.broadcast(chosen), F.col("id") == F.col("of"))
+    # of several rows with a labelled id the least text counts, whatever the order of tasks
+    picked = picked.groupBy("id").agg(F.min("label").alias("label"), F.min(F.coalesce("text", F.lit(b""))).alias("text"))
 
     def run(batches):
         for batch in pieces(batches, "text", BATCH_BYTES):
             own = [terms(t).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(own, pa.binary())], ["id", "label", "terms"])
 
-    found = sorted((r.id, r.label, bytes(r.terms)) for r in picked.mapInArrow(run, "id string, label double, terms binary").limit(sample).collect())
+    found = sorted((r.id, r.label, bytes(r.terms)) for r in picked.mapInArrow(run, "id string, label double, terms binary").collect())
     rows = np.frombuffer(b"".join(t for _, _, t in found), np.float32).reshape(len(found), PAIRS + _MAKEUP * (len(_EDGES) + 1))
     return train(rows, np.array([x for _, x, _ in found]))
 
