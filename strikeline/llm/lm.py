@@ -51,6 +51,8 @@ BLOCK_TOKENS = 2_000_000
 BATCH_BYTES = 4 << 20
 #: Bytes of input per shard.
 SHARD_BYTES = 8 << 20
+#: Estimates from here on mean that the size is not known.
+UNKNOWN_BYTES = 1 << 60
 DISCOUNT = 0.75
 #: Contexts with more than one part in SPREAD of all tokens may be spread over shards: there are fewer than SPREAD.
 SPREAD = 10_000
@@ -73,9 +75,11 @@ def held_out(id_col: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def shard_count(docs: DataFrame) -> int:
-    """In proportion to the input, as the optimizer estimates it."""
+def shard_count(docs: DataFrame, text_col: str) -> int:
+    """In proportion to the input, as the optimizer estimates it; measured where it can't."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN_BYTES:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     return max(4, min(1 << 20, size // SHARD_BYTES))
 
 
@@ -320,7 +324,7 @@ def score(tokens: DataFrame, numbers: DataFrame, codes: DataFrame, shards: int,
 
 def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
-    shards = shard_count(docs)
+    shards = shard_count(docs, text_col)
     table = blocks(docs, shards, id_col, text_col, folds)
     tokens, words = table.where("kind = 'tokens'"), table.where("kind = 'words'")
     told = number_words(words, shards)
