@@ -742,4 +742,4 @@ def status_counts(spark, sf):
     return g.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0))))
 
 
-from strikeline.plans import sourced  # noqa: E402, F401  (its queries register themselves here)
+from strikeline.plans import researched, sourced  # noqa: E402, F401  (their queries register themselves here)
