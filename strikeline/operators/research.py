@@ -141,6 +141,30 @@ def mean_interval(values: DataFrame, lags: int, key: str = "instrument_id", at:
     return a.select(key, "n", "mean", error.alias("error"), (m - z * error).alias("low"), (m + z * error).alias("high"))
 
 
+def turnover(positions: DataFrame, key: str = "instrument_id", at: str = "ts", weight: str = "weight") -> DataFrame:
+    """Per series the weight traded: absolute changes of the position, the first from nothing; a missing weight is none."""
+    held = F.coalesce(F.col(weight), F.lit(0.0))
+    moved = F.abs(held - F.lag(held, 1, 0.0).over(Window.partitionBy(key).orderBy(at)))
+    return positions.select(key, moved.alias("moved")).groupBy(key).agg(F.count("*").alias("n"), F.count_if(F.col("moved") > 0).alias("trades"), F.sum("moved").alias("turnover"), F.avg("moved").alias("mean_turnover"))
+
+
+def tenor_rate(observations: DataFrame, rates: DataFrame, on: Sequence[str], row_col: str, days: str = "days") -> DataFrame:
+    """Observations with the rate at their days to expiry, between the two nearest tenors of the curve ``on`` names.
+
+    ``rates`` has the columns ``on``, tenor and rate, once per tenor.  Outside a
+    curve its end holds; without a curve the rate is null.  The join aggregates
+    per row, so a curve of any length costs one row.
+    """
+    o = observations.select(F.col(row_col).alias("__row"), F.col(days).cast("double").alias("__days"), *on)
+    point = F.struct(F.col("tenor").cast("double").alias("t"), F.col("rate").cast("double").alias("r"))
+    r = rates.where(F.col("tenor").isNotNull() & F.col("rate").isNotNull()).select(*on, point.alias("p"))
+    near = o.join(r, list(on)).groupBy("__row", "__days").agg(F.max(F.when(F.col("p.t") <= F.col("__days"), F.col("p"))).alias("a"), F.min(F.when(F.col("p.t") >= F.col("__days"), F.col("p"))).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    between = a["r"] + (b["r"] - a["r"]) * F.coalesce(F.try_divide(F.col("__days") - a["t"], b["t"] - a["t"]), F.lit(0.0))
+    found = near.select("__row", F.when(a.isNull(), b["r"]).when(b.isNull(), a["r"]).otherwise(between).alias("rate"))
+    return observations.join(found, F.col(row_col) == F.col("__row"), "left").drop("__row")
+
+
 # --- ledger and protocol --------------------------------------------------------
 
 

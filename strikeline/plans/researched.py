@@ -78,6 +78,27 @@ def premium_interval(spark, sf):
     return rounded(research.mean_interval(gap, 3))
 
 
+@register(
+    f"""WITH {V.RETURNS}, p AS (SELECT instrument_id, ts, CASE WHEN ret > 0 THEN 1.0 WHEN ret < 0 THEN -0.5 END AS weight FROM returns
+), m AS (SELECT instrument_id, abs(coalesce(weight, 0) - lag(coalesce(weight, 0), 1, 0) OVER (PARTITION BY instrument_id ORDER BY ts)) AS moved FROM p)
+SELECT instrument_id, count(*) AS n, count(*) FILTER (moved > 0) AS trades, CAST(sum(moved) AS DOUBLE) AS turnover, round(CAST(avg(moved) AS DOUBLE), 9) + 0.0 AS mean_turnover FROM m GROUP BY 1"""
+)
+def turnover(spark, sf):
+    weight = F.when(F.col("ret") > 0, 1.0).when(F.col("ret") < 0, -0.5)
+    return rounded(research.turnover(D.returns(V.hourly_bars(spark, sf)).select("instrument_id", "ts", weight.alias("weight"))))
+
+
+@register(
+    """WITH o AS (SELECT s_suppkey, s_nationkey % 6 AS curve, s_suppkey % 130 AS days FROM supplier), c AS (SELECT n_regionkey AS curve, 5 * n_nationkey AS tenor, (n_nationkey * 7 % 11)::DOUBLE / 100 AS rate FROM nation
+), a AS (SELECT s_suppkey, max(tenor) AS t0, arg_max(rate, tenor) AS r0 FROM o JOIN c USING (curve) WHERE tenor <= days GROUP BY 1), b AS (SELECT s_suppkey, min(tenor) AS t1, arg_min(rate, tenor) AS r1 FROM o JOIN c USING (curve) WHERE tenor >= days GROUP BY 1)
+SELECT s_suppkey, curve, days, round(CASE WHEN t0 IS NULL THEN r1 WHEN t1 IS NULL OR t1 = t0 THEN r0 ELSE r0 + (r1 - r0) * (days - t0) / (t1 - t0) END, 9) + 0.0 AS rate FROM o LEFT JOIN a USING (s_suppkey) LEFT JOIN b USING (s_suppkey)"""
+)
+def tenor_rates(spark, sf):
+    o = V.table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 6).alias("curve"), (F.col("s_suppkey") % 130).alias("days"))
+    curves = V.table(spark, sf, "nation").select(F.col("n_regionkey").alias("curve"), (5 * F.col("n_nationkey")).alias("tenor"), ((F.col("n_nationkey") * 7 % 11).cast("double") / 100).alias("rate"))
+    return rounded(research.tenor_rate(o, curves, ("curve",), "s_suppkey"))
+
+
 _DIMENSIONS = ("parameter_grid", "model_family", "universe")
 
 
