@@ -67,7 +67,7 @@ def test_ohlc_adapter(spark, tmp_path):
 
 
 def test_numbers_and_times(spark):
-    x = spark.createDataFrame([(" 1,234.5 ", "2023-03-14T09:15:00+05:30"), ("N/A", "2023-03-14T09:15:00Z"), ("-", "18-09-2026"), (None, None)], "n string, t string")
+    x = spark.createDataFrame([(" 1,234.5 ", "2023-03-14T09:15:00+05:30"), ("N/A", "2023-03-14T09:15:00Z"), ("-", "14-03-2023"), (None, None)], "n string, t string")
     rows = x.select(parsing.parse_number(F.col("n")).alias("n"), parsing.parse_timestamp(F.col("t")).alias("t")).collect()
     assert [r.n for r in rows] == [1234.5, None, None, None]
     assert [r.t for r in rows] == [dt.datetime(2023, 3, 14, 3, 45), dt.datetime(2023, 3, 14, 9, 15), dt.datetime(2023, 3, 14), None]
