@@ -10,6 +10,11 @@ def ordered(key: str = "instrument_id", by: str = "ts") -> WindowSpec:
     return Window.partitionBy(key).orderBy(by)
 
 
+def whole(key: str = "instrument_id") -> WindowSpec:
+    """All rows of a series: shares the partitioning of :func:`ordered`, so no further shuffle."""
+    return Window.partitionBy(key)
+
+
 def c(name: str | Column) -> Column:
     return F.col(name) if isinstance(name, str) else name
 

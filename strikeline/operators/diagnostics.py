@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strikeline.functions.series import adjusted_kurtosis, adjusted_skewness, drawdown, log_return, ordered, rolling_std, safe_corr, simple_return
+from strikeline.functions.series import adjusted_kurtosis, adjusted_skewness, drawdown, log_return, ordered, rolling_std, safe_corr, simple_return, whole
 
 KEY = "instrument_id"
 
@@ -76,28 +76,23 @@ def realized_volatility(bars: DataFrame, periods: float = 252.0) -> DataFrame:
     )
 
 
-def _series(bars: DataFrame) -> DataFrame:
-    """(instrument, series, i, x): log returns, their absolute values and squares, numbered in order."""
-    r = returns(bars).where("log_ret IS NOT NULL")
-    r = r.withColumn("i", F.row_number().over(ordered()))
-    x = F.col("log_ret")
-    tall = F.explode(F.array(*(F.struct(F.lit(n).alias("series"), e.alias("x")) for n, e in (("ret", x), ("abs", F.abs(x)), ("sq", x * x)))))
-    return r.select(KEY, "i", tall.alias("s")).select(KEY, "i", "s.*")
-
-
 def acf(bars: DataFrame, lags: int = 10) -> DataFrame:
     """Autocorrelation around the global mean, by series and lag, with the band 1.96 / sqrt(n).
 
-    All lags come from one window (one sort) and one aggregation.
+    The series are log returns, their absolute values and squares.  Means and leads are windows
+    over the partitioning of the returns, and every lag is one sum: the input is read and
+    shuffled once, and rows are never multiplied.
     """
     _check(lags >= 1, "lags must be at least 1")
-    s = _series(bars)
-    m = s.groupBy(KEY, "series").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
-    d = s.join(F.broadcast(m), [KEY, "series"]).withColumn("d", F.col("x") - F.col("m")).select(KEY, "series", "i", "d", "n")
-    w = ordered(by="i").partitionBy(KEY, "series").orderBy("i")
-    ahead = d.withColumns({f"e{k}": F.lead("d", k).over(w) for k in range(1, lags + 1)})
-    shifted = ahead.select(KEY, "series", "n", "d", F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"e{k}").alias("e")) for k in range(1, lags + 1)))).alias("l")).select(KEY, "series", "n", "d", "l.*")
-    by = shifted.groupBy(KEY, "series", "lag").agg(F.max("n").alias("n"), F.sum(F.col("d") * F.col("e")).alias("top"), F.sum(F.col("d") * F.col("d")).alias("den"))
+    x = F.col("log_ret")
+    forms = {"ret": x, "abs": F.abs(x), "sq": x * x}
+    r = returns(bars).where("log_ret IS NOT NULL")
+    d = r.select(KEY, "ts", *((e - F.avg(e).over(whole())).alias(name) for name, e in forms.items()))
+    steps = [(name, k) for name in forms for k in range(1, lags + 1)]
+    products = d.select("*", *((F.col(name) * F.lead(name, k).over(ordered())).alias(f"{name}{k}") for name, k in steps))
+    sums = products.groupBy(KEY).agg(F.count("*").alias("n"), *(F.sum(F.col(name) * F.col(name)).alias(name) for name in forms), *(F.sum(f"{name}{k}").alias(f"{name}{k}") for name, k in steps))
+    tall = F.explode(F.array(*(F.struct(F.lit(name).alias("series"), F.lit(k).alias("lag"), F.col(name).alias("den"), F.col(f"{name}{k}").alias("top")) for name, k in steps)))
+    by = sums.select(KEY, "n", tall.alias("s")).select(KEY, "n", "s.*")
     return by.select(KEY, "series", "lag", F.when((F.col("n") > F.col("lag") + 1) & (F.col("den") > 0), F.try_divide("top", "den")).alias("acf"), (1.96 / F.sqrt("n")).alias("band"))
 
 
@@ -126,33 +121,37 @@ def rolling_vol_summary(bars: DataFrame, window: int = 20) -> DataFrame:
     return rolling_vol(bars, window).groupBy(KEY).agg(F.count("*").alias("n"), F.avg("vol").alias("mean_vol"), F.median("vol").alias("median_vol"), F.min("vol").alias("min_vol"), F.max("vol").alias("max_vol"))
 
 
+def _scored(bars: DataFrame, z: float) -> DataFrame:
+    """Every bar with its place, log return, robust z-score and flag; all windows share one partitioning."""
+    _check(z > 0, "z must be positive")
+    x = F.col("log_ret")
+    r = bars.withColumn("source_row", F.row_number().over(ordered()) - 1).withColumn("log_ret", log_return("close", ordered()))
+    r = r.withColumns({"med": F.median(x).over(whole()), "mean": F.avg(x).over(whole()), "sd": F.stddev_samp(x).over(whole())})
+    r = r.withColumn("mad", F.median(F.abs(x - F.col("med"))).over(whole()))
+    score = F.when(F.col("mad") > 0, (x - F.col("med")) / (1.4826 * F.col("mad"))).when(F.col("sd") > 0, (x - F.col("mean")) / F.col("sd"))
+    return r.withColumn("z", score).withColumn("is_jump", F.coalesce(F.abs("z") > z, F.lit(False)))
+
+
 def jump_scores(bars: DataFrame, z: float = 3.0) -> DataFrame:
     """Robust z-scores of log returns (median and MAD; mean and deviation if MAD is 0) and their flags."""
-    _check(z > 0, "z must be positive")
-    r = bars.withColumn("source_row", F.row_number().over(ordered()) - 1).withColumn("log_ret", log_return("close", ordered())).where("log_ret IS NOT NULL")
-    m = r.groupBy(KEY).agg(F.median("log_ret").alias("med"), F.avg("log_ret").alias("mean"), F.stddev_samp("log_ret").alias("sd"))
-    r = r.join(F.broadcast(m), KEY)
-    mad = r.groupBy(KEY).agg(F.median(F.abs(F.col("log_ret") - F.col("med"))).alias("mad"))
-    r = r.join(F.broadcast(mad), KEY)
-    score = F.when(F.col("mad") > 0, (F.col("log_ret") - F.col("med")) / (1.4826 * F.col("mad"))).when(F.col("sd") > 0, (F.col("log_ret") - F.col("mean")) / F.col("sd"))
-    return r.withColumn("z", score).select(KEY, "ts", "source_row", "log_ret", "z", F.coalesce(F.abs("z") > z, F.lit(False)).alias("is_jump"))
+    return _scored(bars, z).where("log_ret IS NOT NULL").select(KEY, "ts", "source_row", "log_ret", "z", "is_jump")
 
 
 def jump_summary(bars: DataFrame, z: float = 3.0) -> DataFrame:
     """Flag counts, realized and bipower variation, and the range proxy (a per-row mean over all rows)."""
-    w = ordered()
-    s = jump_scores(bars, z).withColumn("before", F.abs(F.lag("log_ret").over(w)))
+    past = ordered().rowsBetween(Window.unboundedPreceding, -1)
+    s = _scored(bars, z).withColumn("before", F.abs(F.last("log_ret", ignorenulls=True).over(past)))
+    hl = F.ln(F.col("high") / F.col("low"))
     v = s.groupBy(KEY).agg(
-        F.count("*").alias("n_returns"),
+        F.count("log_ret").alias("n_returns"),
         F.count_if("is_jump").alias("n_jumps"),
         F.array_sort(F.collect_list(F.when(F.col("is_jump"), F.col("source_row")))).alias("rows"),
         F.sum(F.col("log_ret") * F.col("log_ret")).alias("realized_variance"),
         (math.pi / 2 * F.coalesce(F.sum(F.abs("log_ret") * F.col("before")), F.lit(0.0))).alias("bipower_variation"),
+        (F.avg(hl * hl) / (4 * math.log(2))).alias("parkinson_mean"),
     )
-    hl = F.ln(F.col("high") / F.col("low"))
-    p = bars.groupBy(KEY).agg((F.avg(hl * hl) / (4 * math.log(2))).alias("parkinson_mean"))
     floor = lambda e: F.greatest(e, F.lit(0.0))
-    return v.join(p, KEY).select(
+    return v.where("n_returns > 0").select(
         KEY,
         "n_returns",
         "n_jumps",

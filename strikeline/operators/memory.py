@@ -24,9 +24,9 @@ def _numbered(returns: DataFrame) -> DataFrame:
 
 def profile(numbered: DataFrame) -> DataFrame:
     """Running sum of demeaned returns."""
-    mean = numbered.groupBy(KEY).agg(F.avg("x").alias("mean"))
+    mean = F.avg("x").over(Window.partitionBy(KEY))
     w = Window.partitionBy(KEY).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return numbered.join(F.broadcast(mean), KEY).withColumn("y", F.sum(F.col("x") - F.col("mean")).over(w)).select(KEY, "i", "n", "y")
+    return numbered.withColumn("mean", mean).withColumn("y", F.sum(F.col("x") - F.col("mean")).over(w)).select(KEY, "i", "n", "y")
 
 
 def segments(prof: DataFrame) -> DataFrame:
@@ -34,13 +34,11 @@ def segments(prof: DataFrame) -> DataFrame:
 
     Scales above a quarter of the series are left out.  Rows: 2 x 7 per return.
     """
-    cut = F.explode(F.array(*(F.struct(F.lit(s).alias("scale")) for s in SCALES)))
-    x = prof.select(KEY, "i", "n", "y", cut.alias("c")).select(KEY, "i", "n", "y", "c.scale").where("scale <= n div 4")
-    x = x.withColumn("used", F.col("n") - F.col("n") % F.col("scale"))
-    front = x.where("i < used").select(KEY, "n", "scale", F.lit("front").alias("side"), F.expr("i div scale").alias("segment"), F.expr("i % scale").alias("k"), "y")
-    j = F.col("i") - (F.col("n") - F.col("used"))
-    back = x.withColumn("j", j).where("j >= 0").select(KEY, "n", "scale", F.lit("back").alias("side"), F.expr("j div scale").alias("segment"), F.expr("j % scale").alias("k"), "y")
-    return front.unionByName(back)
+    cut = F.explode(F.array(*(F.struct(F.lit(s).alias("scale"), F.lit(side).alias("side")) for s in SCALES for side in ("front", "back"))))
+    x = prof.select(KEY, "i", "n", "y", cut.alias("c")).select(KEY, "i", "n", "y", "c.*").where("scale <= n div 4")
+    # the front leaves out the last n % scale returns, the back the first
+    x = x.withColumn("at", F.when(F.col("side") == "front", F.col("i")).otherwise(F.col("i") - F.col("n") % F.col("scale"))).where("at >= 0 AND at < n - n % scale")
+    return x.select(KEY, "n", "scale", "side", F.expr("at div scale").alias("segment"), F.expr("at % scale").alias("k"), "y")
 
 
 def segment_residuals(prof: DataFrame, order: int = 1) -> DataFrame:

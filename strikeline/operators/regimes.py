@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strikeline.functions.series import ordered, rolling_std
+from strikeline.functions.series import ordered, rolling_std, whole
 from strikeline.operators.diagnostics import KEY, returns
 
 
@@ -14,16 +14,17 @@ def labels(bars: DataFrame, window: int = 20) -> DataFrame:
     if window < 5:
         raise ValueError("window must be at least 5")
     r = returns(bars).where("log_ret IS NOT NULL").withColumn("vol", rolling_std("log_ret", window, ordered())).where("vol IS NOT NULL")
-    cut = r.groupBy(KEY).agg(F.percentile("vol", F.lit(1.0) / 3).alias("q1"), F.percentile("vol", F.lit(2.0) / 3).alias("q2"), F.count("*").alias("usable")).where("q1 < q2 AND usable >= 10")
+    cut = {"q1": F.percentile("vol", F.lit(1.0) / 3), "q2": F.percentile("vol", F.lit(2.0) / 3), "usable": F.count("*")}
+    r = r.withColumns({name: e.over(whole()) for name, e in cut.items()}).where("q1 < q2 AND usable >= 10")
     level = F.when(F.col("vol") <= F.col("q1"), "LOW_VOL").when(F.col("vol") <= F.col("q2"), "MID_VOL").otherwise("HIGH_VOL")
     way = F.when(F.col("log_ret") > 0, "UP").when(F.col("log_ret") < 0, "DOWN").otherwise("FLAT")
-    return r.join(F.broadcast(cut), KEY).select(KEY, "ts", "log_ret", "vol", F.concat_ws("_", level, way).alias("regime"))
+    return r.select(KEY, "ts", "log_ret", "vol", F.concat_ws("_", level, way).alias("regime"))
 
 
 def stats(labelled: DataFrame) -> DataFrame:
+    """Count, share and means per label; the share's total is a window over the few aggregated rows."""
     g = labelled.groupBy(KEY, "regime").agg(F.count("*").alias("n"), F.avg("log_ret").alias("mean_return"), F.avg(F.abs("log_ret")).alias("mean_abs_return"))
-    total = labelled.groupBy(KEY).agg(F.count("*").alias("total"))
-    return g.join(F.broadcast(total), KEY).withColumn("fraction", F.col("n") / F.col("total")).drop("total")
+    return g.withColumn("fraction", F.col("n") / F.sum("n").over(whole()))
 
 
 def transitions(labelled: DataFrame) -> DataFrame:
