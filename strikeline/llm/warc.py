@@ -44,6 +44,8 @@ from strikeline.llm.common import materialise, pieces, scratch_path
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES = 4 << 20
+#: So many tasks read one range each; beyond them a task reads at most TASK_SPLITS ranges.
+READ_TASKS, TASK_SPLITS = 4096, 32
 READ_BYTES = 1 << 20
 HEADER_BYTES = 64 << 10
 BATCH_BYTES = 8 << 20
@@ -183,6 +185,11 @@ class Source:
 OUT = "path string, offset long, record_id string, record_type string, url string, payload_bytes long, payload_digest string, refers_to string"
 
 
+def read_tasks(splits: int) -> int:
+    """The number of reading tasks: a task's share is bounded, however many ranges there are."""
+    return max(1, min(splits, READ_TASKS), -(-splits // TASK_SPLITS))
+
+
 def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = False, complete: bool = False) -> DataFrame:
     """The page records of the archives in a manifest, each read by the task whose byte range it starts in.
 
@@ -190,7 +197,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, split_bytes: int = S
     """
     total = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
-    splits = manifest.select("root", "path", starts.alias("start")).repartition(max(1, min(int(total), 4096)))
+    splits = manifest.select("root", "path", starts.alias("start")).repartition(read_tasks(int(total)))
 
     def run(batches):
         for batch in batches:

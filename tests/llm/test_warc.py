@@ -90,3 +90,9 @@ def test_complete_or_nothing(spark, tmp_path):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(spark, warc.write_archives(table)).collect() == []
+
+
+def test_share_of_a_reading_task_is_bounded():
+    for splits in (0, 1, 4096, 4097, 131_073, 10**7):
+        tasks = warc.read_tasks(splits)
+        assert tasks >= min(max(1, splits), warc.READ_TASKS) and splits <= tasks * warc.TASK_SPLITS
