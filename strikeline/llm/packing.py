@@ -39,7 +39,8 @@ WINDOW = 2048
 UNIT = 8
 DEPTH = 3
 END_ID = 1
-CACHED_CHUNKS = 400_000
+#: Bytes of chunks and ids that one generation of the cache may hold, with what an entry costs besides.
+CACHED_BYTES, ENTRY_BYTES = 80 << 20, 150
 PIECE_BYTES = 2 << 20
 
 
@@ -55,7 +56,9 @@ class Chunks:
     punctuation is the two, one after the other.  Case is folded first, except in
     texts that may hold a special token.  Chunks are remembered in two
     generations: when the young one is full it becomes the old one, and what is
-    met again comes back from there; so frequent chunks stay, rare ones go.
+    met again comes back from there; so frequent chunks stay, rare ones go.  A
+    generation is full by its bytes, so long chunks do not make it grow; only the
+    chunks of one piece of documents are ever held beyond that.
     """
 
     def __init__(self, spec: str):
@@ -67,6 +70,11 @@ class Chunks:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _keep(self, chunk: bytes, ids: bytes) -> None:
+        self.young[chunk] = ids
+        self.held += len(chunk) + len(ids) + ENTRY_BYTES
 
     def _recall(self, chunks: Iterable[bytes]) -> list[bytes]:
         """Bring chunks back into the young generation; return the unknown ones."""
@@ -76,7 +84,7 @@ class Chunks:
                 if (ids := old.get(c)) is None:
                     unknown.append(c)
                 else:
-                    young[c] = ids
+                    self._keep(c, ids)
         return unknown
 
     def _encode_words(self, words: list[bytes]) -> None:
@@ -88,7 +96,7 @@ class Chunks:
             return
         data, at = found.tobytes(), 0
         for w, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.young[w] = data[at:end]
+            self._keep(w, data[at:end])
             at = end
 
     def _encode_any(self, chunks: list[bytes]) -> None:
@@ -98,13 +106,13 @@ class Chunks:
         data = np.array(found.ids, "<u4").tobytes()
         at = 4 * np.searchsorted(np.array([o[0] for o in found.offsets], np.int64), starts)
         for c, i, j in zip(chunks, at[:-1].tolist(), at[1:].tolist(), strict=True):
-            self.young[c] = data[i:j]
+            self._keep(c, data[i:j])
 
     def learn(self, chunks: set[bytes]) -> None:
         """Make sure that ``chunks`` are in the young generation."""
         unknown = self._recall(chunks)
-        if len(self.young) + len(unknown) > CACHED_CHUNKS:
-            self.old, self.young = self.young, {}
+        if self.held + sum(map(len, unknown)) + ENTRY_BYTES * len(unknown) > CACHED_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
             unknown = self._recall(chunks)
         split, words, other = [], set(), set()
         for c in unknown:
@@ -122,7 +130,7 @@ class Chunks:
         if other := self._recall(other):
             self._encode_any(other)
         for c, word, tail in split:
-            self.young[c] = self.young[word] + self.young[tail]
+            self._keep(c, self.young[word] + self.young[tail])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text."""

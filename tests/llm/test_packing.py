@@ -86,3 +86,15 @@ def test_nnls_is_optimal():
 
 def test_combinations():
     assert packing.combinations(6) == [(6,), (5, 1), (4, 2), (4, 1, 1), (3, 3), (3, 2, 1), (2, 2, 2)]
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_BYTES", 200_000)
+    brute("")
+    chunks = packing.Chunks(brute.t.to_str())
+    for i in range(60):
+        texts = [f"again word{i} {'x' * (500 * i + j)}" for j in range(4)]
+        assert [np.frombuffer(d, "<u4").tolist() for d in chunks.encode([t.encode() for t in texts])] == [brute(t)[:-1] for t in texts]
+        for kept in (chunks.young, chunks.old):
+            assert sum(len(c) + len(d) for c, d in kept.items()) <= 200_000 + sum(5 * len(t) for t in texts)
+    assert b"again" in chunks.young
