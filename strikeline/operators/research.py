@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -213,20 +216,57 @@ def black_price(forward: Column, strike: Column, years: Column, vol: Column, cal
     return F.when(call, value).otherwise(value - forward + strike)
 
 
+def _distribution(z: np.ndarray) -> np.ndarray:
+    """``normal_cdf`` over an array."""
+
+    def polynomial(coefficients: Iterable[float], x: np.ndarray) -> np.ndarray:
+        total = np.zeros_like(x)
+        for c in coefficients:
+            total *= x
+            total += c
+        return total
+
+    x = np.abs(z)
+    tail = np.where(x > 7, 0.0, np.exp(-x * x / 2) * polynomial(_UPPER, x) / polynomial(_LOWER, x))
+    return np.where(z > 0, 1 - tail, tail)
+
+
+def _bisected(price: np.ndarray, forward: np.ndarray, strike: np.ndarray, years: np.ndarray, call: np.ndarray, highest: float, steps: int) -> np.ndarray:
+    """The volatilities of one batch; NaN where there is none."""
+    with np.errstate(all="ignore"):
+        ratio = forward / strike
+        usable = (price > np.maximum(np.where(call, forward - strike, strike - forward), 0.0)) & (price < np.where(call, forward, strike))
+        usable &= (years > 0) & np.isfinite(years) & (forward > 0) & (strike > 0) & (ratio > 0) & np.isfinite(ratio)
+    out = np.full(len(price), np.nan)
+    price, forward, strike, call = price[usable], forward[usable], strike[usable], call[usable]
+    root, log = np.sqrt(years[usable]), np.log(ratio[usable])
+    low, high = np.zeros(len(price)), np.full(len(price), float(highest))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for _ in range(steps):
+            middle = (low + high) / 2
+            spread = middle * root
+            d1 = log / spread + spread / 2
+            value = forward * _distribution(d1) - strike * _distribution(d1 - spread)
+            below = np.where(call, value, value - forward + strike) < price
+            low, high = np.where(below, middle, low), np.where(below, high, middle)
+    found = (low + high) / 2
+    out[usable] = np.where(found < highest - 1e-9, found, np.nan)
+    return out
+
+
 def implied_vol(price: Column, forward: Column, strike: Column, years: Column, call: Column, highest: float = 5.0, steps: int = 50) -> Column:
-    """The volatility at which the option costs ``price``, by bisection inside the JVM; null outside its bounds."""
-    floor = F.greatest(F.when(call, forward - strike).otherwise(strike - forward), F.lit(0.0))
-    top = F.when(call, forward).otherwise(strike)
-
-    def halve(state: Column, _: Column) -> Column:
-        middle = (state["low"] + state["high"]) / 2
-        below = black_price(forward, strike, years, middle, call) < price
-        return F.struct(F.when(below, middle).otherwise(state["low"]).alias("low"), F.when(below, state["high"]).otherwise(middle).alias("high"))
-
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(highest).alias("high"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["low"] + s["high"]) / 2)
-    usable = (price > floor) & (price < top) & (years > 0) & (forward > 0) & (strike > 0)
-    return F.when(usable & (found < highest - 1e-9), found)
+    """The volatility at which the option costs ``price``, by bisection; null outside its bounds.
+
+    All rows of an Arrow batch are halved together; as a lambda the JVM
+    interprets the steps node by node.
+    """
+
+    def run(price: pa.Array, forward: pa.Array, strike: pa.Array, years: pa.Array, call: pa.Array) -> pa.Array:
+        numbers = (pc.fill_null(c, float("nan")).to_numpy(zero_copy_only=False) for c in (price, forward, strike, years))
+        return pa.array(_bisected(*numbers, call.to_numpy(zero_copy_only=False), highest, steps), pa.float64(), from_pandas=True)
+
+    at = (c.cast("double") for c in (price, forward, strike, years))
+    return F.arrow_udf(run, "double")(*at, F.coalesce(call, F.lit(False)))
 
 
 def surface(quotes: DataFrame, keys: Sequence[str], tenor_days: int = 30, moneyness_step: float = 0.05) -> DataFrame:

@@ -50,6 +50,27 @@ def test_prices_out_of_bounds_have_no_volatility(spark):
     assert got[:4] == [None] * 4 and abs(got[4] - 0.10034) < 1e-4
 
 
+def test_many_volatilities_come_back_soon(spark):
+    """5,000 options: known volatilities come back, in a time that per-row interpretation of 50 steps would pass many times over."""
+    import time
+
+    q = spark.range(5000).select("id", F.lit(100.0).alias("f"), (90.0 + F.col("id") % 20).alias("k"), (0.25 + F.col("id") % 7 / 7).alias("t"), (0.15 + F.col("id") % 13 / 20).alias("v"), (F.col("id") % 20 >= 10).alias("call"))
+    at = [F.col(c) for c in ("f", "k", "t")]
+    began = time.perf_counter()
+    off = q.select(F.abs(research.implied_vol(research.black_price(*at, F.col("v"), F.col("call")), *at, F.col("call")) - F.col("v")).alias("off")).agg(F.max("off").alias("most"), F.count("off").alias("n")).first()
+    assert off.n == 5000 and off.most < 1e-9
+    assert time.perf_counter() - began < 30
+
+
+def test_odd_options_have_no_volatility(spark):
+    inf, nan = math.inf, math.nan
+    rows = [(4.0, 100.0, inf, 1.0), (4.0, inf, 100.0, 1.0), (4.0, 100.0, 100.0, inf), (4.0, 100.0, 100.0, nan), (nan, 100.0, 100.0, 1.0), (4.0, 0.0, 100.0, 1.0), (4.0, 100.0, -1.0, 1.0), (4.0, 100.0, 100.0, 0.0), (4.0, None, 100.0, 1.0), (99.0, 100.0, 100.0, 1.0)]
+    options = spark.createDataFrame(rows, "p double, f double, k double, t double")
+    found = options.select(research.implied_vol(*(F.col(c) for c in "pfkt"), F.lit(True)).alias("v")).collect()
+    assert [r.v for r in found] == [None] * len(rows)
+    assert options.where("p IS NULL").select(research.implied_vol(*(F.col(c) for c in "pfkt"), F.lit(True))).collect() == []
+
+
 def test_sabr_at_the_money_and_flat(spark):
     def at(strike, nu):
         v = research.sabr_vol(F.lit(100.0), F.lit(strike), F.lit(1.0), F.lit(0.2), 1.0, F.lit(0.0), F.lit(nu))
