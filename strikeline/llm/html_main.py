@@ -2,7 +2,7 @@
 
 1. Every page becomes a list of blocks (path of elements, text), and its tokens:
    the paths of its elements and the (path, text) of its blocks, with counts and
-   first places.  One compact row per page is written to the shared folder.
+   first and last places.  One compact row per page is written to the shared folder.
 2. Pages of a host whose kept blocks (step 4) are equal count once, whatever
    their scripts, comments and adverts.  For every (host, token) an
    aggregation with map-side partial sums yields the number of pages and a
@@ -11,14 +11,16 @@
    together anywhere, however many it has.
 3. Tokens of a host with equal fingerprints are an equivalence class; a class is
    valid if it covers at least ``SUPPORT`` of the host's pages (and ``LEAST``
-   pages).  Valid classes nest: a class lies in the gap between two tokens of the
-   smallest class around it (by mean places).  Their texts may be the template's.
+   pages).  Valid classes nest: a class lies in the gap between two markup tokens of
+   the smallest class around it (by mean places).  Their texts may be the template's.
    They are if the class also covers ``SUPPORT`` of the host's different pages
    (and ``LEAST``) by what is left without such texts.  Pages with nothing left,
    and marked articles with less left than taken, are copies: all count as one.
    Markup tokens that cover as many pages bound slots, and what fills a slot over
    the whole host tells its kind: one that is mostly link text, names no role and
-   holds less than the host's largest slot of other text is a menu.
+   holds less than the host's largest slot of other text is a menu, unless the
+   smallest class around it repeats a slot of other text: links between the
+   paragraphs of an article belong to it.
 4. What is not template text fills slots.  Menus found so are dropped, unless a
    page would have no text without them.  Any other slot's role comes from its path:
    menus, headers, footers, sidebars, notices, adverts, forms and comments are
@@ -215,7 +217,7 @@ def extract(page: str | None, template: set[int]) -> str:
 
 
 def page_tokens(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One written row per page: host, hashes of its kept and of all blocks, tokens with counts and first places, kept texts with lengths,
+    """One written row per page: host, hashes of its kept and of all blocks, tokens with counts, first and last places, kept texts with lengths,
     and per path of blocks its characters, those in links, and whether it was kept without being part of an article."""
 
     def digest(texts: list[int], marked: bool) -> int:
@@ -223,10 +225,11 @@ def page_tokens(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
     def run(batches):
         for batch in pieces(batches, "html", BATCH_BYTES):
-            out: list[list] = [[] for _ in range(13)]
+            out: list[list] = [[] for _ in range(14)]
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 count: dict[int, int] = {}
                 place: dict[int, int] = {}
+                end: dict[int, int] = {}
                 texts: list[int] = []
                 found = parse_linked(page.decode("utf-8", "replace")) if page else []
                 blocks = [(e, t) for e, t, _ in found]
@@ -241,40 +244,41 @@ def page_tokens(pages: DataFrame, url_col: str = "url", html_col: str = "html")
                     for t in (token(element.key), token(element.key, text)):
                         count[t] = count.get(t, 0) + 1
                         place.setdefault(t, i)
+                        end[t] = i
                     texts.append(token(element.key, text))
                 texts_of = set(texts)
                 kept, marked = kept_of(blocks)
                 main = [token(e.key, t) for e, t in kept]
                 of_slots = [[s[k] for s in slots.values()] for k in range(3)]
-                row = (host_of(url), digest(main, marked), digest(texts, marked), list(count), [2 * n + (t in texts_of) for t, n in count.items()], [place[t] / len(blocks) for t in count], main, [len(t) for _, t in kept], marked, list(slots), *of_slots)
+                row = (host_of(url), digest(main, marked), digest(texts, marked), list(count), [2 * n + (t in texts_of) for t, n in count.items()], [place[t] / len(blocks) for t in count], [end[t] / len(blocks) for t in count], main, [len(t) for _, t in kept], marked, list(slots), *of_slots)
                 for c, v in zip(out, row, strict=True):
                     c.append(v)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["host", "page", "whole", "tokens", "counts", "places", "main", "chars", "marked", "slots", "own", "linked", "plain"])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.list_(pa.float32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["host", "page", "whole", "tokens", "counts", "places", "ends", "main", "chars", "marked", "slots", "own", "linked", "plain"])
 
     rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("binary").alias("html"))
-    return materialise(rows.mapInArrow(run, "host string, page long, whole long, tokens array<long>, counts array<int>, places array<float>, main array<long>, chars array<int>, marked boolean, slots array<long>, own array<long>, linked array<long>, plain array<boolean>"), "page-tokens")
+    return materialise(rows.mapInArrow(run, "host string, page long, whole long, tokens array<long>, counts array<int>, places array<float>, ends array<float>, main array<long>, chars array<int>, marked boolean, slots array<long>, own array<long>, linked array<long>, plain array<boolean>"), "page-tokens")
 
 
 def classes(tokens: DataFrame) -> DataFrame:
-    """The valid equivalence classes of every host: fingerprint, tokens, pages, span of places, and the class around it."""
-    distinct = tokens.groupBy("host", "page").agg(F.min_by(F.struct("tokens", "counts", "places"), "whole").alias("of")).select("host", "page", "of.*")
+    """The valid equivalence classes of every host: fingerprint, tokens, pages, span of places, whether a page has it more than once, and the class around it."""
+    distinct = tokens.groupBy("host", "page").agg(F.min_by(F.struct("tokens", "counts", "places", "ends"), "whole").alias("of")).select("host", "page", "of.*")
     size = distinct.groupBy("host").agg(F.count("*").alias("of"))
-    flat = distinct.select("host", "page", F.explode(F.arrays_zip("tokens", "counts", "places")).alias("t")).select("host", "page", "t.*")
+    flat = distinct.select("host", "page", F.explode(F.arrays_zip("tokens", "counts", "places", "ends")).alias("t")).select("host", "page", "t.*")
     vector = F.sum(F.xxhash64("page", F.shiftright("counts", 1)) % (1 << 40)).alias("vector")
-    found = flat.groupBy("host", F.col("tokens").alias("token")).agg(vector, F.count("*").alias("pages"), F.max(F.col("counts") % 2 == 1).alias("is_text"), F.avg("places").alias("place"))
+    found = flat.groupBy("host", F.col("tokens").alias("token")).agg(vector, F.count("*").alias("pages"), F.max(F.col("counts") % 2 == 1).alias("is_text"), F.avg("places").alias("place"), F.avg("ends").alias("end"), F.sum(F.shiftright("counts", 1)).alias("n"))
     valid = found.where(F.col("pages") >= LEAST).join(size, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
-    grouped = valid.groupBy("host", "vector", "pages").agg(F.collect_set("token").alias("tokens"), F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("texts"), F.min("place").alias("first"), F.max("place").alias("last"))
-    # the smallest class around: the last one that began before and ends after, widest first
+    grouped = valid.groupBy("host", "vector", "pages").agg(F.collect_set("token").alias("tokens"), F.collect_set(F.when(F.col("is_text"), F.col("token"))).alias("texts"), F.min("place").alias("first"), F.max("end").alias("last"), (F.max("n") > F.col("pages")).alias("repeats"))
+    # the smallest class with markup around: of those that began before and end after the narrowest
     around = Window.partitionBy("host").orderBy("first", F.desc("last"), "vector").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.collect_list(F.struct("last", "first", "vector")).over(around)
+    above = F.collect_list(F.when(F.size("tokens") > F.size("texts"), F.struct("last", "first", "vector"))).over(around)
     wide = F.filter(above, lambda c: c["last"] >= F.col("last"))
     return grouped.withColumn("parent", F.when(F.size(wide) > 0, F.element_at(F.array_sort(F.transform(wide, lambda c: F.struct((c["last"] - c["first"]).alias("width"), c["vector"].alias("vector")))), 1)["vector"]))
 
 
-def template_texts(tokens: DataFrame) -> DataFrame:
+def template_texts(tokens: DataFrame, valid_classes: DataFrame) -> DataFrame:
     """The texts of valid classes that pages with different content of their own share: host, text."""
-    found = materialise(classes(tokens).select("host", "vector", F.explode("texts").alias("text")), "page-candidates")
+    found = valid_classes.select("host", "vector", F.explode("texts").alias("text"))
     said = tokens.select("host", "page", "marked", F.explode(F.arrays_zip("main", "chars")).alias("b")).select("host", "page", "marked", F.col("b.main").alias("text"), "b.chars")
     said = said.join(found, ["host", "text"], "left")
     alone = F.col("vector").isNull()
@@ -289,11 +293,13 @@ def template_texts(tokens: DataFrame) -> DataFrame:
     return found.join(valid.select("host", "vector"), ["host", "vector"]).select("host", "text")
 
 
-def menu_slots(tokens: DataFrame) -> DataFrame:
+def menu_slots(tokens: DataFrame, valid_classes: DataFrame) -> DataFrame:
     """Slots without a role that hold mostly links, on hosts whose largest other slot holds more: host, text (the slot's token).
 
     A slot's support counts different pages, as that of classes does; its
     characters are sums with map-side partials, so a host's pages never meet.
+    Where the class around a slot's own repeats a slot of other text, the slot
+    lies between the pieces of that text and is no menu.
     """
     distinct = tokens.groupBy("host", "page").agg(F.min_by(F.struct("slots", "own", "linked", "plain"), "whole").alias("of")).select("host", "of.*")
     size = distinct.groupBy("host").agg(F.count("*").alias("of"))
@@ -302,13 +308,18 @@ def menu_slots(tokens: DataFrame) -> DataFrame:
     valid = slots.where(F.col("pages") >= LEAST).join(size, "host").where(F.col("pages") >= SUPPORT * F.col("of"))
     links = 2 * F.col("linked") >= F.col("own")
     largest = valid.where(~links).groupBy("host").agg(F.max("own").alias("largest"))
-    return valid.where(links & F.col("plain")).join(largest, "host").where(F.col("largest") > F.col("own")).select("host", F.col("slots").alias("text"))
+    menus = valid.where(links & F.col("plain")).join(largest, "host").where(F.col("largest") > F.col("own")).select("host", "slots")
+    of = valid_classes.select("host", "vector", "parent", "repeats", F.explode("tokens").alias("slots"))
+    prose = of.where("repeats").join(valid.where(~links).select("host", "slots"), ["host", "slots"]).select("host", F.col("vector").alias("parent"))
+    inside = of.join(prose, ["host", "parent"], "left_semi")
+    return menus.join(inside, ["host", "slots"], "left_anti").select("host", F.col("slots").alias("text"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text."""
     tokens = page_tokens(pages, url_col, html_col)
-    found = template_texts(tokens).unionByName(menu_slots(tokens))
+    valid = materialise(classes(tokens).select("host", "vector", "tokens", "texts", "parent", "repeats"), "page-classes")
+    found = template_texts(tokens, valid).unionByName(menu_slots(tokens, valid))
     texts = materialise(found.withColumnRenamed("host", "of").groupBy("of").agg(F.collect_set("text").alias("template")), "page-templates")
     size = texts.agg(F.sum(F.size("template"))).first()[0] or 0
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("binary").alias("html"))

@@ -176,6 +176,20 @@ def test_links_inside_a_marked_article_stay(spark):
     assert {r.page_id: r.text for r in h.main_text(site(spark, pages)).collect()} == want
 
 
+def test_links_between_the_paragraphs_of_an_unmarked_article_stay(spark):
+    """The class of the paragraphs lies around the list; the list behind them is a menu as before."""
+    rng = random.Random(7)
+    pages, want = [], {}
+    for i in range(10):
+        paragraphs = [words(rng, 25) for _ in range(3 + i % 4)]
+        links = [words(rng, 2) for _ in range(2 + i % 3)]
+        menu = "".join(f"<li><a>{words(rng, 2)}</a></li>" for _ in range(4 + i % 2))
+        listed = f"<ul>{''.join(f'<li><a>{t}</a></li>' for t in links)}</ul>"
+        pages.append((i, f"https://lists.example/{i}", f"<div class=x7><p>{paragraphs[0]}</p>{listed}{''.join(f'<p>{t}</p>' for t in paragraphs[1:])}</div><div class=x9><ul>{menu}</ul></div>", "x"))
+        want[i] = "\n\n".join([paragraphs[0], *links, *paragraphs[1:]])
+    assert {r.page_id: r.text for r in h.main_text(site(spark, pages)).collect()} == want
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_pages_against_a_plain_reading(spark, sf):
     """Every page here marks its article; between the marks only block tags end a block."""
